@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomelattice.llm import neardup
+from tomelattice.llm import leakage, neardup, repetition
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,8 +23,30 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return classes.join(links, "cls", "left").select(F.col("ref").alias("id"), F.col("cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a run of 20 or more tokens of an evaluation item."""
+    return p8_report(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items by document, with how much of the item is there."""
+    docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "eval_items"))
+    return leakage.leaked(docs, "doc_id", "text", items, "item_id", "item_text").withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that repeat themselves: anomalous for the forest, then checked by the exact share."""
+    rows = repetition.repetition(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+    return rows.where(F.col("anomalous") & (F.col("share") >= repetition.REPEATED)).select(F.col("ref").alias("doc_id")).distinct()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's statistics of repetition and its score."""
+    return repetition.repetition(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").withColumnRenamed("ref", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_groups)}
+    return {f.__name__: f for f in (p6_found, p6_groups, p8_found, p8_report, p9_found, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
