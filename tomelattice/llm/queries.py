@@ -7,7 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomelattice.llm import leakage, neardup, repetition
+from tomelattice.llm import history, leakage, neardup, repetition
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pending documents that repeat an earlier document, with the earliest such."""
+    kb, pending, files = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("kb_documents", "pending_documents", "text_files"))
+    last = F.lit(2**31 - 1)
+    accepted = history.History(0.6)
+    accepted.accept(
+        kb.select(F.col("id").alias("ref"), F.struct(F.lit(0).alias("kind"), F.coalesce("batch_no", last).alias("batch"), F.lit(0).alias("ordinal"), F.col("id").alias("id")).alias("ord"), "md5", F.concat(F.lit("kb:"), "id").alias("loc")),
+        kb.select(F.concat(F.lit("kb:"), "id").alias("loc"), F.col("content").alias("text")),
+        probing=False,
+    )
+    accepted.accept(
+        pending.select(F.col("doc_id").alias("ref"), F.struct(F.lit(1).alias("kind"), F.coalesce("batch_no", last).alias("batch"), F.coalesce("ordinal", last).alias("ordinal"), F.lit("").alias("id")).alias("ord"), "md5", F.concat(F.lit("file:"), "original_path").alias("loc")),
+        files.select(F.concat(F.lit("file:"), "file_path").alias("loc"), F.col("content").alias("text")),
+    )
+    return accepted.check().select(F.col("ref").alias("doc_id"), F.col("match").alias("match_id"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +63,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_groups, p8_found, p8_report, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p4_found, p6_found, p6_groups, p8_found, p8_report, p9_found, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
