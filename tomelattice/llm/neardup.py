@@ -15,48 +15,19 @@ Copies with equal sets are one class, so their number does not multiply any work
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomelattice.llm.arrow import text_batches
-from tomelattice.llm.setsim import BLANK, overlaps, set_hash, text_sets
-from tomelattice.session import Stage, stage
+from tomelattice.llm.setsim import BLANK, levels_of, overlaps, set_hash, survey, text_sets
+from tomelattice.session import stage
 
-#: Cells of the frequency sketch that orders the shingles, and the slices it is merged in.
-CELLS, SLICES = 1 << 22, 16
 #: Index entries to a task, and pairs expanded at once, about.
 ENTRIES, PAIRS = 1_000_000, 2_000_000
 
 
-def _survey(batches):
-    """Rows of the texts' classes, then this task's sketch of shingle counts."""
-    counts = np.zeros(CELLS, np.uint32)
-    for batch, texts in text_batches(batches, "text"):
-        n, values, at = text_sets(texts)
-        keep = np.repeat(n >= BLANK, np.diff(at))
-        counts += np.bincount((values[keep] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-        rows = np.flatnonzero(n >= BLANK)
-        yield pa.record_batch([batch.column("ref").take(pa.array(rows)), pa.array(set_hash(values, at)[rows]), pa.array(np.diff(at)[rows]), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], ["ref", "cls", "size", "slice", "counts"])
-    if counts.any():
-        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
-        yield pa.record_batch([pa.nulls(SLICES, batch.column("ref").type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["ref", "cls", "size", "slice", "counts"])
-
-
-def _merge_slices(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, c in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-            x = np.frombuffer(zlib.decompress(c), np.uint32)
-            total[k] = total[k] + x if k in total else x.copy()
-    for k, x in total.items():
-        level = np.floor(8 * np.log2(x + 1.0)).clip(0, 255).astype(np.uint8)  # a cell's count in eighths of octaves
-        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], ["slice", "levels"])
-
-
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     """Elements of a set of n of which one at least is common with any set of that similarity."""
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
@@ -69,7 +40,7 @@ def _indexer(levels, threshold: float, parts: int):
             n, values, at = text_sets(texts)
             cls = set_hash(values, at)
             # The set's elements in global order: the sketch's level, then the hash.
-            ordered = (level[(values & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (values >> np.uint64(8))
+            ordered = (levels_of(values, level).astype(np.uint64) << np.uint64(56)) | (values >> np.uint64(8))
             size = np.diff(at)
             keep = []
             for i in np.flatnonzero(n >= BLANK).tolist():
@@ -168,12 +139,7 @@ def near_duplicates(docs: DataFrame, ref: str, text: str, threshold: float = 0.8
     spark = docs.sparkSession
     kind = docs.schema[ref].dataType.simpleString()
     texts = docs.select(F.col(ref).alias("ref"), F.col(text).alias("text")).where("ref is not null and text is not null")
-    survey = stage(texts.mapInArrow(_survey, f"ref {kind}, cls long, size long, slice int, counts binary"))
-    classes = survey.where("ref is not null").select("ref", "cls", "size")
-    merged = survey.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_merge_slices, "slice int, levels binary").collect()  # CELLS bytes at most
-    level = np.zeros(CELLS, np.uint8)
-    for k, x in merged:
-        level[k * (CELLS // SLICES) : (k + 1) * (CELLS // SLICES)] = np.frombuffer(zlib.decompress(x), np.uint8)
+    classes, level = survey(texts, kind)
     entries = classes.agg(F.sum("size")).first()[0] or 0
     parts = max(1, int(entries * (1 - threshold) / ENTRIES) + 1)
     index = texts.mapInArrow(_indexer(spark.sparkContext.broadcast(level), threshold, parts), "part int, elements binary, places binary, counts binary, classes binary, sizes binary")

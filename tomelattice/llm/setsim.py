@@ -8,6 +8,8 @@ only the elements in which the two differ.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,6 +24,8 @@ from tomelattice.session import stage
 SHINGLE, BLANK = 5, 20
 #: Sets to a block of the verification, and pairs to a task's group, about.
 BLOCK, GROUP = 256, 2000
+#: Cells of the sketch of shingle frequencies, and the slices it is merged in.
+CELLS, SLICES = 1 << 22, 16
 
 
 def set_hash(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -39,6 +43,49 @@ def text_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.diff(offsets), values, at
 
 
+def _survey(batches):
+    """Rows of the texts' classes, then this task's sketch of shingle counts."""
+    counts = np.zeros(CELLS, np.uint32)
+    for batch, texts in text_batches(batches, "text"):
+        n, values, at = text_sets(texts)
+        keep = np.repeat(n >= BLANK, np.diff(at))
+        counts += np.bincount((values[keep] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+        rows = np.flatnonzero(n >= BLANK)
+        yield pa.record_batch([batch.column("ref").take(pa.array(rows)), pa.array(set_hash(values, at)[rows]), pa.array(np.diff(at)[rows]), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], ["ref", "cls", "size", "slice", "counts"])
+    if counts.any():
+        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
+        yield pa.record_batch([pa.nulls(SLICES, batch.column("ref").type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["ref", "cls", "size", "slice", "counts"])
+
+
+def _merge_slices(batches):
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, c in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+            x = np.frombuffer(zlib.decompress(c), np.uint32)
+            total[k] = total[k] + x if k in total else x.copy()
+    for k, x in total.items():
+        level = np.floor(8 * np.log2(x + 1.0)).clip(0, 255).astype(np.uint8)  # a cell's count in eighths of octaves
+        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], ["slice", "levels"])
+
+
+def levels_of(values: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return level[(values & np.uint64(CELLS - 1)).astype(np.int64)]
+
+
+def survey(texts: DataFrame, ref_type: str) -> tuple[DataFrame, np.ndarray]:
+    """Of all texts (ref, text): a written table (ref, cls, size) of those not blank, and the sketch of shingle frequencies.
+
+    cls is a hash of the set of shingles.  The sketch has a fixed number of cells, each with the
+    number of sets that hold a shingle of the cell, in eighths of octaves.
+    """
+    rows = stage(texts.mapInArrow(_survey, f"ref {ref_type}, cls long, size long, slice int, counts binary"))
+    merged = rows.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_merge_slices, "slice int, levels binary").collect()  # CELLS bytes at most
+    level = np.zeros(CELLS, np.uint8)
+    for k, x in merged:
+        level[k * (CELLS // SLICES) : (k + 1) * (CELLS // SLICES)] = np.frombuffer(zlib.decompress(x), np.uint8)
+    return rows.where("ref is not null").select("ref", "cls", "size"), level
+
+
 def _sets(batches):
     for batch, texts in text_batches(batches, "text"):
         _, values, at = text_sets(texts)
