@@ -7,7 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomelattice.llm import history, leakage, neardup, repetition
+from tomelattice.llm import history, leakage, mojibake, neardup, repetition
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    kb, files, pending = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("kb_documents", "text_files", "pending_documents"))
+    parts = (("kb_documents", kb, "id", "content"), ("text_files", files, "file_path", "content"), ("pending_documents", pending, "doc_id", "title"))
+    a, b, c = (t.select(F.lit(src).alias("src"), F.col(i).alias("ref"), F.col(x).alias("text")) for src, t, i, x in parts)
+    return a.unionByName(b).unionByName(c)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records that were decoded with a wrong charset, at least in part."""
+    return mojibake.garbled(_records(spark, d)).select("src", F.col("ref").alias("rec_id")).distinct()
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The same records with the pairs of charsets found in them and the text restored as far as it can be."""
+    return mojibake.garbled(_records(spark, d)).select("src", F.col("ref").alias("rec_id"), F.array_distinct("spans.pair").alias("pairs"), "restored", "whole")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +80,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p6_found, p6_groups, p8_found, p8_report, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p4_found, p6_found, p6_groups, p8_found, p8_report, p9_found, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
