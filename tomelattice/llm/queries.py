@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomelattice.llm import history, leakage, mojibake, neardup, repetition
+from tomelattice.llm import history, leakage, mojibake, neardup, repetition, terms
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +44,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return accepted.check().select(F.col("ref").alias("doc_id"), F.col("match").alias("match_id"))
 
 
+def _occurrences(spark: SparkSession, d: str) -> DataFrame:
+    words, postings = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("keyword_definitions", "postings"))
+    return words.select(F.lit("keyword_definitions").alias("src"), F.col("keyword").alias("term"), F.col("document_id").alias("record"), F.col("frequency").alias("n")).unionByName(
+        postings.select(F.lit("postings").alias("src"), F.col("keyword").alias("term"), F.col("node_id").alias("record"), F.lit(1).alias("n"))
+    )
+
+
+def p5_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """Every keyword with its number of records, total and mark."""
+    return terms.frequencies(_occurrences(spark, d)).select("src", F.col("term").alias("keyword"), "records", "total", "mark")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords that are too common or too rare."""
+    return p5_frequencies(spark, d).where("mark is not null").select("src", "keyword", "mark")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of kb_documents whose contents have similarity 0.6 or more."""
     classes, pairs = neardup.near_duplicates(spark.read.parquet(f"{d}/kb_documents.parquet"), "id", "content", 0.6)
@@ -80,8 +97,26 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p4_found, p6_found, p6_groups, p8_found, p8_report, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p4_found, p5_found, p5_frequencies, p6_found, p6_groups, p8_found, p8_report, p9_found, p9_shares)}
+
+
+_P5 = r"""
+WITH rows AS (
+  SELECT 'keyword_definitions' AS src, keyword, document_id AS record, frequency AS n FROM keyword_definitions
+  UNION ALL SELECT 'postings', keyword, node_id, 1 FROM postings
+), clean AS (
+  SELECT src, lower(regexp_replace(keyword, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')) AS keyword, nullif(record, '') AS record, greatest(coalesce(n, 1), 1) AS n
+  FROM rows WHERE keyword IS NOT NULL
+), best AS (SELECT src, keyword, record, max(n) AS n FROM clean GROUP BY ALL),
+counted AS (SELECT src, keyword, count(record) AS records, cast(coalesce(sum(n) FILTER (record IS NOT NULL), 0) AS BIGINT) AS total FROM best GROUP BY ALL),
+sizes AS (SELECT src, count(DISTINCT record) AS size FROM clean GROUP BY ALL)
+SELECT src, keyword, records, total, CASE WHEN records > 0.05 * size THEN 'common' WHEN records <= 2 AND total <= 5 THEN 'rare' END AS mark
+FROM counted JOIN sizes USING (src)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_frequencies": _P5,
+        "p5_found": f"SELECT src, keyword, mark FROM ({_P5}) WHERE mark IS NOT NULL",
+    }
