@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomelattice.llm import history, leakage, mojibake, neardup, repetition, terms
+from tomelattice.llm import history, leakage, mojibake, neardup, repetition, splitting, terms
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +27,18 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(_records(spark, d)).select("src", F.col("ref").alias("rec_id"), F.array_distinct("spans.pair").alias("pairs"), "restored", "whole")
 
 
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of all sections longer than 2000 bytes."""
+    docs, refs = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("kb_documents", "section_refs"))
+    pieces = splitting.oversized(docs.select(F.col("id").alias("doc"), F.col("content").alias("text")), refs.select(F.col("doc_id").alias("doc"), F.col("section_index").alias("section"), F.col("byte_offset").alias("begin")))
+    return pieces.withColumnsRenamed({"doc": "doc_id", "section": "section_index"})
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sections that had to be cut."""
+    return p3_pieces(spark, d).where("piece > 0").select("doc_id", "section_index").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pending documents that repeat an earlier document, with the earliest such."""
     kb, pending, files = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("kb_documents", "pending_documents", "text_files"))
@@ -97,9 +109,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p4_found, p5_found, p5_frequencies, p6_found, p6_groups, p8_found, p8_report, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_pieces, p4_found, p5_found, p5_frequencies, p6_found, p6_groups, p8_found, p8_report, p9_found, p9_shares)}
 
 
+_P3 = """
+WITH refs AS (SELECT doc_id, section_index, min(byte_offset) AS a FROM section_refs GROUP BY ALL),
+ends AS (
+  SELECT doc_id, section_index, a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY section_index), strlen(content)) AS b
+  FROM refs JOIN kb_documents ON id = doc_id WHERE content IS NOT NULL
+)
+SELECT doc_id, section_index FROM ends WHERE b - a > 2000
+"""
 _P5 = r"""
 WITH rows AS (
   SELECT 'keyword_definitions' AS src, keyword, document_id AS record, frequency AS n FROM keyword_definitions
@@ -117,6 +137,7 @@ FROM counted JOIN sizes USING (src)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _P3,
         "p5_frequencies": _P5,
         "p5_found": f"SELECT src, keyword, mark FROM ({_P5}) WHERE mark IS NOT NULL",
     }
