@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomelattice.llm import history, leakage, mojibake, neardup, repetition, splitting, terms
+from tomelattice.llm import history, leakage, mojibake, neardup, packing, repetition, splitting, terms
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +86,11 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return classes.join(links, "cls", "left").select(F.col("ref").alias("id"), F.col("cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or part of one above 2048 tokens, with its container of 2048 tokens."""
+    return packing.pack(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a run of 20 or more tokens of an evaluation item."""
     return p8_report(spark, d).select("doc_id", "item_id").distinct()
@@ -109,7 +114,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_pieces, p4_found, p5_found, p5_frequencies, p6_found, p6_groups, p8_found, p8_report, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_pieces, p4_found, p5_found, p5_frequencies, p6_found, p6_groups, p7_containers, p8_found, p8_report, p9_found, p9_shares)}
 
 
 _P3 = """
