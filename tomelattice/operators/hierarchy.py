@@ -11,7 +11,7 @@ links outside the tree is on no cycle, and only the rest is searched for cycles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomelattice.session import Stage, stage
@@ -21,17 +21,22 @@ SIBLINGS = 1 << 16
 
 
 class _Loop:
-    """A table replaced round by round; files of earlier rounds are removed."""
+    """A table replaced round by round; files of earlier rounds are removed.  `seen` has aggregates taken when the last one was written."""
 
-    def __init__(self, df: DataFrame) -> None:
-        self._stage = Stage(df)
+    def __init__(self, df: DataFrame, **counted: Column) -> None:
+        self._counted = counted
+        self._stage = Stage(df, **counted)
 
     @property
     def df(self) -> DataFrame:
         return self._stage.df
 
+    @property
+    def seen(self) -> dict:
+        return self._stage.seen
+
     def replace(self, df: DataFrame) -> None:
-        old, self._stage = self._stage, Stage(df)
+        old, self._stage = self._stage, Stage(df, **self._counted)
         old.drop()
 
 
@@ -51,17 +56,14 @@ def _anchored(ids: DataFrame, links: DataFrame) -> DataFrame:
     """
     parents = links.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
     state = ids.join(parents.withColumnRenamed("child", "node"), "node", "left").select("node", F.when(F.col("n") == 1, F.col("parent")).alias("up"), F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("dist"), (F.coalesce("n", F.lit(0)) != 1).alias("done"))
-    loop = _Loop(state.withColumn("up", F.coalesce("up", "node")))
-    left = loop.df.where("not done").count()
-    while left:
+    loop = _Loop(state.withColumn("up", F.coalesce("up", "node")), left=F.count(F.when(~F.col("done"), 1)))
+    while left := loop.seen["left"]:
         t = loop.df
         above = t.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
         step = t.where("not done").join(above, "up").select("node", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"))
         loop.replace(t.where("done").unionByName(step))
-        now = loop.df.where("not done").count()
-        if now == left:
+        if loop.seen["left"] == left:
             break
-        left = now
     t = loop.df
     return t.select("node", F.when(F.col("done"), F.col("up")).alias("anchor"), "dist")
 
@@ -72,13 +74,13 @@ def _nearest_roots(anchored: DataFrame, links: DataFrame) -> DataFrame:
     roots = anchored.where("anchor = node").select("node").join(parents.withColumnRenamed("child", "node"), "node", "left_anti")
     several = parents.where("count > 1").select("child")
     ways = stage(links.join(several, "child", "left_semi").join(anchored.where("anchor is not null").withColumnRenamed("node", "parent"), "parent").select("anchor", F.col("child").alias("to"), (F.col("dist") + 1).alias("steps")).distinct())
-    found = _Loop(roots.select(F.col("node").alias("anchor"), F.struct(F.lit(0).cast("long").alias("depth"), F.col("node").alias("root")).alias("best"), F.lit(True).alias("new")))
+    found = _Loop(roots.select(F.col("node").alias("anchor"), F.struct(F.lit(0).cast("long").alias("depth"), F.col("node").alias("root")).alias("best"), F.lit(True).alias("new")), new=F.count(F.when(F.col("new"), 1)))
     while True:
         t = found.df
         offers = t.where("new").join(ways, "anchor").select(F.col("to").alias("anchor"), F.struct((F.col("best.depth") + F.col("steps")).alias("depth"), F.col("best.root").alias("root")).alias("offer")).groupBy("anchor").agg(F.min("offer").alias("offer"))
         better = t.join(offers, "anchor", "full").select("anchor", F.least("best", "offer").alias("best"), F.coalesce(F.col("best").isNull() | (F.col("offer") < F.col("best")), F.lit(False)).alias("new"))
         found.replace(better)
-        if found.df.where("new").isEmpty():
+        if not found.seen["new"]:
             return found.df.select("anchor", "best.depth", "best.root")
 
 
@@ -104,9 +106,9 @@ def _sum_up(tree: DataFrame, weights: dict[str, str]) -> DataFrame:
     In the round of steps of 2^k each node has the sum of its descendants less than 2^k below; it
     gets those less than 2^(k+1) below from the nodes exactly 2^k below.
     """
-    loop = _Loop(tree.select("node", "depth", F.col("parent").alias("up"), *(F.col(w).alias(c) for c, w in weights.items())))
-    deepest, step = tree.agg(F.max("depth")).first()[0] or 0, 1
-    while step <= deepest:
+    loop = _Loop(tree.select("node", "depth", F.col("parent").alias("up"), *(F.col(w).alias(c) for c, w in weights.items())), deepest=F.max("depth"))
+    step = 1
+    while step <= (loop.seen["deepest"] or 0):
         t = loop.df
         given = t.where(F.col("depth") >= step).groupBy("up").agg(*(F.sum(c).alias(f"{c}_below") for c in weights)).withColumnRenamed("up", "node")
         above = t.where(F.col("depth") >= step).select(F.col("node").alias("up"), F.col("up").alias("up2"))
@@ -119,9 +121,9 @@ def _sum_up(tree: DataFrame, weights: dict[str, str]) -> DataFrame:
 def _sum_down(tree: DataFrame, weights: list[str], paths: bool = False) -> DataFrame:
     """Sums of the columns over the way from below the root to every node, and the way itself if asked for."""
     extra = [F.array("node").alias("path")] if paths else []
-    loop = _Loop(tree.select("node", "depth", F.col("parent").alias("up"), *weights, *extra))
-    deepest, step = tree.agg(F.max("depth")).first()[0] or 0, 1
-    while step <= deepest:
+    loop = _Loop(tree.select("node", "depth", F.col("parent").alias("up"), *weights, *extra), deepest=F.max("depth"))
+    step = 1
+    while step <= (loop.seen["deepest"] or 0):
         t = loop.df
         above = t.select(F.col("node").alias("up"), F.col("up").alias("up2"), *(F.col(c).alias(f"{c}_up") for c in weights), *([F.col("path").alias("path_up")] if paths else []))
         more = t.where(F.col("depth") >= step).join(above, "up")
@@ -131,19 +133,28 @@ def _sum_down(tree: DataFrame, weights: list[str], paths: bool = False) -> DataF
     return loop.df.select("node", *weights, *(["path"] if paths else []))
 
 
-def _spread(links: DataFrame, state: DataFrame, source: str, target: str, rounds: int = 4) -> DataFrame:
-    """The greatest label among nodes that lead to a node within its colour, by repeated steps along links."""
-    loop = _Loop(state)
-    while True:
-        t = now = loop.df
-        for _ in range(rounds):
-            sent = links.select(F.col(source).alias("node"), F.col(target).alias("to")).join(now, "node").select(F.col("to").alias("node"), "label")
-            now = now.unionByName(sent).groupBy("node").agg(F.max("label").alias("label"))
-        changed = _Loop(now)
-        same = changed.df.join(t, ["node", "label"], "left_anti").isEmpty()
-        loop.replace(changed.df)
-        if same:
-            return loop.df
+def _spread(links: DataFrame, state: DataFrame, source: str, target: str) -> DataFrame:
+    """(node, label): the greatest label among the nodes of state that lead to a node along links."""
+    loop = _Loop(state.select("node", "label", F.lit(True).alias("new")), new=F.count(F.when(F.col("new"), 1)))
+    while loop.seen["new"]:
+        t = loop.df
+        sent = links.select(F.col(source).alias("node"), F.col(target).alias("to")).join(t.where("new").select("node", "label"), "node").select(F.col("to").alias("node"), "label")
+        both = t.select("node", "label", F.col("label").alias("old")).unionByName(sent.withColumn("old", F.lit(None).cast("string")))
+        grown = both.groupBy("node").agg(F.max("label").alias("label"), F.max("old").alias("old"))
+        loop.replace(grown.select("node", "label", (F.col("old").isNull() | (F.col("label") > F.col("old"))).alias("new")))
+    return loop.df.select("node", "label")
+
+
+def _trim(links: DataFrame) -> _Loop:
+    """Links without those at the ends of chains."""
+    rest = _Loop(links, left=F.count(F.lit(1)))
+    left = -1
+    while rest.seen["left"] != left:
+        left = rest.seen["left"]
+        e = rest.df
+        inner = e.join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(e.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        rest.replace(inner.select("parent", "child"))
+    return rest
 
 
 def on_cycle(links: DataFrame) -> DataFrame:
@@ -154,33 +165,27 @@ def on_cycle(links: DataFrame) -> DataFrame:
     named after, within the colour, form a strongly connected component.  Those leave, and the rest
     is treated again.
     """
-    found = links.where("parent = child").select(F.col("child").alias("node"))
-    rest = _Loop(links.where("parent <> child").select("parent", "child"))
-    left = rest.df.count()
-    while left:
-        e = rest.df
-        ends = e
-        for _ in range(3):
-            ends = ends.join(ends.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-            ends = ends.join(ends.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        rest.replace(ends.select("parent", "child"))
-        now = rest.df.count()
-        if now < left:
-            left = now
-            continue
-        e = rest.df
+    found = [links.where("parent = child").select(F.col("child").alias("node"))]
+    rest = links.where("parent <> child").select("parent", "child")
+    while True:
+        trimmed = _trim(rest)
+        if not trimmed.seen["left"]:
+            break
+        e = trimmed.df
         every = e.select(F.col("parent").alias("node")).union(e.select("child")).distinct()
-        colours = stage(_spread(e, every.select("node", F.col("node").alias("label")), "parent", "child"))
+        colours = _spread(e, every.select("node", F.col("node").alias("label")), "parent", "child")
         inside = stage(
             e.join(colours.select(F.col("node").alias("parent"), F.col("label").alias("a")), "parent").join(colours.select(F.col("node").alias("child"), F.col("label").alias("b")), "child").where("a = b").select("parent", "child")
         )
-        back = stage(_spread(inside, colours.where("node = label"), "child", "parent").select("node"))
+        back = _spread(inside, colours.where("node = label"), "child", "parent").select("node")
         # A component of one node has no links inside, for those to itself have been taken out.
         ring = inside.join(back.withColumnRenamed("node", "parent"), "parent", "left_semi").join(back.withColumnRenamed("node", "child"), "child", "left_semi")
-        found = stage(found.union(ring.select("child")).distinct())
-        rest.replace(e.join(back.withColumnRenamed("node", "parent"), "parent", "left_anti").join(back.withColumnRenamed("node", "child"), "child", "left_anti"))
-        left = rest.df.count()
-    return found.distinct()
+        found.append(stage(ring.select(F.col("child").alias("node")).distinct()))
+        rest = e.join(back.withColumnRenamed("node", "parent"), "parent", "left_anti").join(back.withColumnRenamed("node", "child"), "child", "left_anti")
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out.distinct()
 
 
 class Hierarchy:

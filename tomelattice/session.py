@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 _own_dir: list[str] = []
@@ -64,10 +64,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Stage:
     """A result written to the shared folder, so that later steps start from files that outlive executors."""
 
-    def __init__(self, df: DataFrame, codec: str = "zstd") -> None:
+    def __init__(self, df: DataFrame, **counted: Column) -> None:
+        """counted: aggregates taken while writing, to be found in `seen`."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/stage-{uuid.uuid4().hex}"
-        df.write.option("compression", codec).parquet(self.path)
+        seen = Observation() if counted else None
+        (df.observe(seen, *(c.alias(k) for k, c in counted.items())) if counted else df).write.option("compression", "zstd").parquet(self.path)
+        self.seen: dict = seen.get if counted else {}
         _written.append((self.spark, self.path))
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
