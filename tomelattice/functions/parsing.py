@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomelattice.functions.text import col
+from tomelattice.functions.text import col, let
 
 #: Fixed values of the decision protocol.
 DECISION = "action string, selectedIndex int, selectedIndexes array<int>, reasoning string, confidence double"
@@ -20,11 +20,17 @@ def unfenced(c: Column | str) -> Column:
     An answer that opens with three backticks loses that line and what follows the last fence; text
     before the first bracket and behind the last one of its kind goes as well.
     """
-    t = F.trim(F.regexp_replace(col(c), r"^\s+|\s+$", ""))
-    body = F.when(t.startswith("```") & t.contains("\n"), F.regexp_replace(F.regexp_replace(F.regexp_extract(t, r"(?s)\A[^\n]*\n(.*)\z", 1), r"(?s)```(?!.*```).*\z", ""), r"^\s+|\s+$", "")).otherwise(t)
-    kind = F.regexp_extract(body, r"[\{\[]", 0)
-    cut = F.when(kind == "{", F.regexp_extract(body, r"(?s)\{.*\}", 0)).when(kind == "[", F.regexp_extract(body, r"(?s)\[.*\]", 0))
-    return F.when(body.rlike(r"\A[\{\[]") | (kind == "") | (cut == ""), body).otherwise(cut)
+
+    def opened(t: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_extract(t, r"(?s)\A[^\n]*\n(.*)\z", 1), r"(?s)```(?!.*```).*\z", "")
+        return F.when(t.startswith("```") & t.contains("\n"), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(t)
+
+    def cut(body: Column) -> Column:
+        kind = F.regexp_extract(body, r"[\{\[]", 0)
+        part = F.when(kind == "{", F.regexp_extract(body, r"(?s)\{.*\}", 0)).when(kind == "[", F.regexp_extract(body, r"(?s)\[.*\]", 0))
+        return F.when(body.rlike(r"\A[\{\[]") | (kind == ""), body).otherwise(F.coalesce(F.nullif(part, F.lit("")), body))
+
+    return let(let(F.regexp_replace(col(c), r"^\s+|\s+$", ""), opened), cut)
 
 
 def parsed(c: Column | str, schema: str, strict: bool = False) -> Column:
@@ -38,7 +44,7 @@ def parsed(c: Column | str, schema: str, strict: bool = False) -> Column:
         if "_bad" in kind.fieldNames():
             raise ValueError("_bad is taken")
         value = F.from_json(text, T.StructType([*kind.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
-        out = F.when(value.isNotNull() & value["_bad"].isNull(), F.struct(*(value[f].alias(f) for f in kind.fieldNames())))
+        out = let(value, lambda v: F.when(v.isNotNull() & v["_bad"].isNull(), F.struct(*(v[f].alias(f) for f in kind.fieldNames()))))
     else:
         out = F.from_json(text, kind)
     return F.coalesce(out, F.raise_error(F.lit("PROMPT_002: not the JSON asked for")).cast(kind)) if strict else out
@@ -76,13 +82,18 @@ def decision(c: Column | str, children: Column | str) -> Column:
     repeated ones count once, and with none left the walk stops.  An unknown action with an index
     selects, without one stops.  An answer that is no decision has error NAV_004.
     """
-    d = parsed(c, DECISION)
-    n = col(children)
-    action = F.lower(F.trim(F.coalesce(d["action"], F.lit(""))))
-    sure = F.coalesce(d["confidence"], F.lit(UNSAID_CONFIDENCE)) >= LOW_CONFIDENCE
-    one = F.filter(F.array(d["selectedIndex"]), lambda i: i.isNotNull() & (i >= 0) & (i < n))
-    many = F.array_distinct(F.filter(F.coalesce(d["selectedIndexes"], F.array().cast("array<int>")), lambda i: i.isNotNull() & (i >= 0) & (i < n)))
-    wants = F.when(action == "expand_multiple", "expand").when(action == "fallback_search", "fallback").when(action == "stop", "stop").when((action == "select_child") | d["selectedIndex"].isNotNull(), "select").otherwise("stop")
-    picks = F.when(wants == "select", one).when(wants == "expand", many).otherwise(F.array().cast("array<int>"))
-    move = F.when(d.isNull(), F.lit(None)).when((wants == "select") & ~sure, "fallback").when(wants.isin("select", "expand") & (F.size(picks) == 0), "stop").otherwise(wants)
-    return F.struct(move.alias("move"), F.when(move.isin("select", "expand"), picks).otherwise(F.array().cast("array<int>")).alias("picks"), d["reasoning"].alias("reasoning"), F.when(d.isNull(), F.lit("NAV_004")).alias("error"))
+    none = F.array().cast("array<int>")
+
+    def choices(d: Column) -> Column:
+        action = F.lower(F.trim(F.coalesce(d["action"], F.lit(""))))
+        wants = F.when(action == "expand_multiple", "expand").when(action == "fallback_search", "fallback").when(action == "stop", "stop").when((action == "select_child") | d["selectedIndex"].isNotNull(), "select").otherwise("stop")
+        given = F.when(wants == "select", F.array(d["selectedIndex"])).when(wants == "expand", d["selectedIndexes"])
+        picks = F.array_distinct(F.filter(F.coalesce(given, none), lambda i: i.isNotNull() & (i >= 0) & (i < col(children))))
+        sure = F.coalesce(d["confidence"], F.lit(UNSAID_CONFIDENCE)) >= LOW_CONFIDENCE
+        return F.struct(wants.alias("wants"), picks.alias("picks"), sure.alias("sure"), d["reasoning"].alias("reasoning"), d.isNull().alias("bad"))
+
+    def judged(x: Column) -> Column:
+        move = F.when(x["bad"], F.lit(None)).when((x["wants"] == "select") & ~x["sure"], "fallback").when(x["wants"].isin("select", "expand") & (F.size(x["picks"]) == 0), "stop").otherwise(x["wants"])
+        return F.struct(move.alias("move"), F.when(move.isin("select", "expand"), x["picks"]).otherwise(none).alias("picks"), x["reasoning"].alias("reasoning"), F.when(x["bad"], F.lit("NAV_004")).alias("error"))
+
+    return let(let(parsed(c, DECISION), choices), judged)

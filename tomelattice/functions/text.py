@@ -16,6 +16,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trimmed(c: Column | str) -> Column:
     """Without characters up to U+0020 at both ends."""
     return F.regexp_replace(col(c), r"^[\x00-\x20]+|[\x00-\x20]+$", "")

@@ -10,10 +10,9 @@ from tomelattice.functions.text import is_blank, numbered
 from tomelattice.model.calls import asked, prompt
 from tomelattice.model.provider import Provider
 from tomelattice.operators.index import fallback_nodes, matches, scores, start_nodes
-from tomelattice.session import stage
+from tomelattice.session import Stage, stage
 
 MAX_STEPS = 20
-_EDGES = "parent string, child string, pos int"
 
 
 def child_links(nodes: DataFrame) -> DataFrame:
@@ -41,12 +40,12 @@ def leaf_chunks(starts: DataFrame, nodes: DataFrame) -> DataFrame:
     chunks.  Every node is visited once a query, so cycles do no harm.
     """
     edges = stage(child_links(nodes))
-    seen = stage(starts.select("query_id", "node_id").distinct())
-    new = seen
-    while not new.isEmpty():
-        below = new.join(edges, new["node_id"] == edges["parent"]).select("query_id", F.col("child").alias("node_id")).distinct()
-        new = stage(below.join(seen, ["query_id", "node_id"], "left_anti"))
-        seen = stage(seen.unionByName(new))
+    step = Stage(starts.select("query_id", "node_id").distinct(), n=F.count(F.lit(1)))
+    seen = step.df
+    while step.seen["n"]:
+        below = step.df.join(edges, step.df["node_id"] == edges["parent"]).select("query_id", F.col("child").alias("node_id")).distinct()
+        step = Stage(below.join(seen, ["query_id", "node_id"], "left_anti"), n=F.count(F.lit(1)))
+        seen = seen.unionByName(step.df)
     held = chunk_links(nodes).drop("pos")
     leaves = nodes.where("type = 'LEAF'").select("node_id").distinct()
     found = stage(seen.join(leaves, "node_id", "left_semi").join(held, "node_id").select("query_id", "node_id", "chunk_id"))

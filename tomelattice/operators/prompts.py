@@ -117,8 +117,9 @@ def rate_limited(events: DataFrame, key: str, time: str, id: str, most: int = 5,
     its own, as a stream with the few admitted times as state, and a busy key is spread over its
     runs.  Events at one time are taken by id; null keys are a key, null times are left out.
     """
+    at = F.col(time).cast("timestamp") if events.schema[time].dataType.typeName().startswith("timestamp") else F.col(time)
     step = F.floor(F.col("_t") / seconds)
-    rows = events.where(F.col(time).isNotNull()).select(F.col(key).alias("_key"), F.col(id).alias("_id"), F.col(time).cast("double").alias("_t")).withColumn("_step", step)
+    rows = events.where(F.col(time).isNotNull()).select(F.col(key).alias("_key"), F.col(id).alias("_id"), at.cast("double").alias("_t")).withColumn("_step", step)
     by = Window.partitionBy("_k").orderBy("_s")  # a key's steps, of which there are as many as time has, not as events
     steps = rows.select(F.col("_key").alias("_k"), F.col("_step").alias("_s")).distinct()
     runs = steps.select("_k", "_s", (F.col("_s") - F.row_number().over(by)).alias("_run"))

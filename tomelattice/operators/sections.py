@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,18 +17,21 @@ BODY, PREFACE, WHOLE = "正文", "前言", "文档"
 NUMERALS = "一二三四五六七八九十百千"
 LEAST_SECTION, LEAST_THRESHOLD, THRESHOLD, PROMPT_CHARS = 200, 1000, 100_000, 4000
 
-_ATX = r"^(#{1,6})[ \t]+(.*?)[ \t]*$"
-_CHAPTER = rf"^第[{NUMERALS}0-9]+[章节篇部](?:[ \t].*)?$"
-_ITEM = rf"^[{NUMERALS[:10]}]+、.*$"
+# A heading has no line end of any kind within it.
+_ANY = r"[^\n\r\u0085\u2028\u2029]*"
+_ATX = rf"^(#{{1,6}})[ \t]+({_ANY}?)[ \t]*$"
+_CHAPTER = rf"^第[{NUMERALS}0-9]+[章节篇部](?:[ \t]{_ANY})?$"
+_ITEM = rf"^[{NUMERALS[:10]}]+、{_ANY}$"
 _FENCE = r"^\s*(`{3,}|~{3,})"
 
 
 def heading(line: Column | str) -> Column:
     """(level, title) of a heading line, null for another; a byte order mark before it doesn't matter."""
     x = F.regexp_replace(col(line), "^﻿|\r$", "")
-    atx = trimmed(F.regexp_extract(x, _ATX, 2))
+    full = lambda p: p.removesuffix("$") + r"\z"
+    atx = trimmed(F.regexp_extract(x, full(_ATX), 2))
     bare = trimmed(x)
-    level = F.when(atx != "", F.length(F.regexp_extract(x, _ATX, 1))).when(bare.rlike(_CHAPTER), 1).when(bare.rlike(_ITEM), 2)
+    level = F.when(atx != "", F.length(F.regexp_extract(x, full(_ATX), 1))).when(bare.rlike(full(_CHAPTER)), 1).when(bare.rlike(full(_ITEM)), 2)
     return F.when(level.isNotNull(), F.struct(level.cast("int").alias("level"), F.when(atx != "", atx).otherwise(bare).alias("title")))
 
 
@@ -115,15 +119,13 @@ class Part(NamedTuple):
 
 
 def _heading_of(line: str) -> tuple[int, str] | None:
-    import re
-
     x = line.removeprefix("﻿")
     strip = lambda s: s.strip("".join(map(chr, range(33))))
-    m = re.match(_ATX, x)
+    m = re.fullmatch(_ATX, x)
     if m and strip(m.group(2)):
         return len(m.group(1)), strip(m.group(2))
     bare = strip(x)
-    return (1, bare) if re.match(_CHAPTER, bare) else (2, bare) if re.match(_ITEM, bare) else None
+    return (1, bare) if re.fullmatch(_CHAPTER, bare) else (2, bare) if re.fullmatch(_ITEM, bare) else None
 
 
 def _units(text: str, limit: int) -> Iterator[tuple[int, int, bool]]:

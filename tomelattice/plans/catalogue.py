@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomelattice.plans import trees
+from tomelattice.plans import documents, search, trees
+
+_ALL: dict[Callable, str | None] = documents.QUERIES | search.QUERIES | dict.fromkeys(trees.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in trees.QUERIES}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: sql for f, sql in _ALL.items() if sql}
