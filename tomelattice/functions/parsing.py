@@ -53,7 +53,7 @@ def parsed(c: Column | str, schema: str, strict: bool = False) -> Column:
 def string_list(c: Column | str) -> Column:
     """A JSON array of strings, trimmed, without blank and null entries; an empty array if it can't be parsed."""
     entries = F.coalesce(parsed(c, "array<string>"), F.array().cast("array<string>"))
-    return F.filter(F.transform(entries, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(entries, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def keyword_lines(c: Column | str) -> Column:

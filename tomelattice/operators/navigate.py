@@ -88,7 +88,7 @@ def navigate(queries: DataFrame, nodes: DataFrame, root: str, entries: DataFrame
     about = nodes.select("node_id", "name", "description").dropDuplicates(["node_id"])
     lists = edges.join(about.withColumnRenamed("node_id", "child"), "child").groupBy("parent").agg(F.sort_array(F.collect_list(F.struct("pos", "child", "name", "description"))).alias("below"))  # a node's children, which one prompt has to hold
     lists = stage(lists.join(nodes.where("type <> 'LEAF'").select(F.col("node_id").alias("parent")).distinct(), "parent", "left_semi"))
-    ended = []
+    ended = [state.where("false").select("query_id", "query", "path", "steps", F.array("node_id").alias("picked"), F.lit("").alias("outcome"), F.lit(None).cast("string").alias("error"))]
     keep = ["query_id", "query", "path", "steps", "picked", "outcome", "error"]
     none = F.lit(None).cast("string")
     for _ in range(max_steps + 1):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ class Store:
         try:
             state = json.loads(self.files.read(POINTER))
             folders = [f for t in state["tables"].values() for f in t]
-        except (ValueError, KeyError, TypeError, AttributeError) as e:
+        except (ValueError, KeyError, TypeError, AttributeError, Py4JJavaError) as e:
             raise StorageError("STORAGE_004", f"the pointer can't be read: {e}") from e
         missing = [f for f in folders if not self.files.exists(f)]
         if missing:
