@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tomelattice.llm.arrow import text_batches
 from tomelattice.llm.setsim import SHINGLE
@@ -120,14 +121,14 @@ class ItemIndex:
         return pairs // len(self.ids), pairs % len(self.ids), common
 
 
-def _searcher(shared):
+def _searcher(shared, item_type: pa.DataType):
     def search(batches):
         index = shared.value
         for batch, texts in text_batches(batches, "text"):
             tokens, offsets = tokenize(texts)
             text, item, common = index.verified(tokens, offsets, index.candidates(*shingles(tokens, offsets, SHINGLE)))
             if len(text):
-                yield pa.record_batch([batch.column("doc").take(pa.array(text)), pa.array([index.ids[i] for i in item.tolist()]), pa.array(common), pa.array(common / index.windows[item])], ["doc", "item", "common", "share"])
+                yield pa.record_batch([batch.column("doc").take(pa.array(text)), pa.array([index.ids[i] for i in item.tolist()], item_type), pa.array(common), pa.array(common / index.windows[item])], ["doc", "item", "common", "share"])
 
     return search
 
@@ -150,7 +151,7 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
 
     def search() -> DataFrame:
         index = ItemIndex(list(ids), list(block), run, miss)
-        return texts.mapInArrow(_searcher(spark.sparkContext.broadcast(index)), schema)
+        return texts.mapInArrow(_searcher(spark.sparkContext.broadcast(index), to_arrow_type(items.schema[item_id].dataType)), schema)
 
     first, size = True, 0
     for i, t in items.select(item_id, item_text).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).toLocalIterator():

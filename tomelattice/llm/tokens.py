@@ -48,7 +48,8 @@ class _Table:
             n = unicodedata.normalize("NFKC", c).lower() if not 0xD800 <= cp < 0xE000 else c
             single = len(n) == 1
             # Code points that may join or reorder with neighbours, or whose lower case depends on them.
-            joins = unicodedata.combining(c) or unicodedata.category(c)[0] == "M" or 0x1100 <= cp < 0x1200 or 0xA960 <= cp < 0xA980 or 0xD7B0 <= cp < 0xD800 or 0xFFA0 <= cp < 0xFFE0 or cp == 0x3A3 or unicodedata.combining(n[0])
+            jamo = any(0x1100 <= ord(x) < 0x1200 or 0xA960 <= ord(x) < 0xA980 or 0xD7B0 <= ord(x) < 0xD800 for x in c + n)
+            joins = jamo or cp == 0x3A3 or any(unicodedata.combining(x) or unicodedata.category(x)[0] == "M" for x in c + n)
             if joins or (not single and any(x.isalnum() for x in n)):
                 self.whole[cp] = True
                 n = c
