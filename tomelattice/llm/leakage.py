@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tomelattice.llm.arrow import text_batches
 from tomelattice.llm.setsim import SHINGLE
-from tomelattice.llm.tokens import mix64, shingles, tokenize
+from tomelattice.llm.tokens import shingles, tokenize
 
 #: Characters of items searched for in one pass over the documents; more items take more passes.
 ITEM_CHARS = 4_000_000
