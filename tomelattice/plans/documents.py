@@ -59,7 +59,7 @@ def lines_with_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LINES = """
-SELECT {id} AS doc_id, i - 1 AS line_no, line, length(line) AS chars,
+SELECT {id} AS doc_id, (i - 1)::INT AS line_no, line, length(line)::INT AS chars,
   coalesce(sum(length(line) + 1) OVER (PARTITION BY {id} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
 FROM (SELECT {id}, unnest(string_split({text}, chr(10))) AS line, generate_subscripts(string_split({text}, chr(10)), 1) AS i FROM {table} WHERE {text} IS NOT NULL)
 """
@@ -93,7 +93,7 @@ SECTIONS_BY_HEADING = f"""
 {_HEADED}, numbered AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY line_no) AS part FROM headed),
 grouped AS (SELECT doc_id, part, max(level) AS level, max(title) FILTER (level IS NOT NULL) AS title, min(start) AS start, max(start + chars) AS last, bool_or(written) AS written FROM numbered GROUP BY ALL),
 ended AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY part), last) AS stop, max(part) OVER (PARTITION BY doc_id) AS parts FROM grouped)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS section, coalesce(title, CASE WHEN parts = 0 THEN '正文' ELSE '前言' END) AS title, coalesce(level, 0) AS level, start, stop
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INT AS section, coalesce(title, CASE WHEN parts = 0 THEN '正文' ELSE '前言' END) AS title, coalesce(level, 0) AS level, start, stop
 FROM ended WHERE written
 """
 
@@ -106,7 +106,7 @@ def fixed_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 FIXED_WINDOWS = """
-SELECT doc_id, (start // 4000)::INT AS window_no, start, length(substr(text, start + 1, 4000)) AS chars, md5(substr(text, start + 1, 4000)) AS md5
+SELECT doc_id, (start // 4000)::INT AS window_no, start::INT AS start, length(substr(text, start + 1, 4000))::INT AS chars, md5(substr(text, start + 1, 4000)) AS md5
 FROM (SELECT doc_id, text, unnest(range(0, length(text), 4000)) AS start FROM documents WHERE text <> '')
 """
 
@@ -149,7 +149,7 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
 
 FILE_NAMES = r"""
 SELECT id, string_split(file_path, '/')[-1] AS base, CASE WHEN trim(title) = '' THEN 'document' ELSE left(regexp_replace(title, '[\\/:*?"<>|]', '_', 'g'), 80) END AS safe, left(title, 20) AS short,
-  regexp_matches(kb_name, '^[a-zA-Z0-9_-]+$') AND length(kb_name) <= 50 AS valid, CASE WHEN length(content) > 20000 THEN 20005 ELSE length(content) END AS budget,
+  regexp_matches(kb_name, '^[a-zA-Z0-9_-]+$') AND length(kb_name) <= 50 AS valid, (CASE WHEN length(content) > 20000 THEN 20005 ELSE length(content) END)::INT AS budget,
   CASE WHEN trim(title) = '' THEN id ELSE left(title, 50) END AS leaf
 FROM kb_documents
 """

@@ -85,10 +85,14 @@ def stage(df: DataFrame) -> DataFrame:
     return Stage(df).df
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Removes all stages written so far, once no result that builds on them will be evaluated any more.  Done at exit as well."""
+    while _written:
+        spark, path = _written.pop()
         try:
             _delete(spark, path)
         except Exception:  # the JVM may be gone already
-            break
+            continue
+
+
+atexit.register(release)
