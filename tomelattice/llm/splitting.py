@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tomelattice.llm.arrow import text_batches
 from tomelattice.session import stage
 
 #: Bytes of a piece at most, and of the overlap of two pieces at least and at most.
@@ -130,18 +132,21 @@ def split(text: bytes, limit: int = LIMIT, least: int = LEAST, most: int = MOST)
     return path[::-1]
 
 
-def _splitter(limit: int, least: int, most: int):
+def _splitter(limit: int, least: int, most: int, section_type: pa.DataType):
     def work(batches):
-        for batch in batches:
-            rows = {k: [] for k in ("row", "piece", "byte_begin", "byte_cut", "byte_end", "text")}
-            for r, (text, base) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("begin").to_pylist())):
-                for k, (a, c, b) in enumerate(split(text, limit, least, most)):
-                    for name, v in zip(rows, (r, k, base + a, base + c, base + b, text[a:b].decode("utf-8", "replace"))):
-                        rows[name].append(v)
+        for batch, texts in text_batches(batches, "text"):
+            rows = {k: [] for k in ("row", "section", "piece", "byte_begin", "byte_cut", "byte_end", "text")}
+            for r, (text, sections) in enumerate(zip(texts, batch.column("sections").to_pylist())):
+                data = text.encode("utf-8", "replace")
+                for s in sections:
+                    base, part = s["begin"], data[s["begin"] : s["end"]]
+                    for k, (a, c, b) in enumerate(split(part, limit, least, most)):
+                        for name, v in zip(rows, (r, s["section"], k, base + a, base + c, base + b, part[a:b].decode("utf-8", "replace"))):
+                            rows[name].append(v)
             if rows["row"]:
-                of = batch.select(["doc", "section"]).take(pa.array(rows.pop("row")))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                yield pa.record_batch([*of.columns, *(pa.array(v, k) for v, k in zip(rows.values(), kinds))], ["doc", "section", *rows])
+                of = batch.column("doc").take(pa.array(rows.pop("row")))
+                kinds = (section_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.record_batch([of, *(pa.array(v, k) for v, k in zip(rows.values(), kinds))], ["doc", *rows])
 
     return work
 
@@ -176,6 +181,6 @@ def oversized(docs: DataFrame, sections: DataFrame, limit: int = LIMIT, least: i
     sizes = texts.select("doc", F.octet_length("text").alias("size"))
     placed = section_ends(sections).join(sizes, "doc").select("doc", "section", F.greatest("begin", F.lit(0)).alias("begin"), F.least(F.coalesce("end", "size"), "size").alias("end"))
     long = stage(placed.where(F.col("end") - F.col("begin") > limit).groupBy("doc").agg(F.collect_list(F.struct("section", "begin", "end")).alias("sections")))  # of one text, so no more than it has bytes
-    cut = texts.join(long, "doc").select("doc", "text", F.inline("sections")).select("doc", "section", "begin", F.substring(F.col("text").cast("binary"), F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin")).cast("int")).alias("bytes"))
-    kind = {c: sections.schema[c].dataType.simpleString() for c in ("doc", "section")}
-    return cut.select("doc", "section", F.col("begin").cast("long").alias("begin"), "bytes").mapInArrow(_splitter(limit, least, most), f"doc {kind['doc']}, section {kind['section']}, piece int, byte_begin long, byte_cut long, byte_end long, text string")
+    kind = {c: sections.schema[c].dataType for c in ("doc", "section")}
+    schema = f"doc {kind['doc'].simpleString()}, section {kind['section'].simpleString()}, piece int, byte_begin long, byte_cut long, byte_end long, text string"
+    return texts.join(long, "doc").select("doc", "text", "sections").mapInArrow(_splitter(limit, least, most, to_arrow_type(kind["section"])), schema)
