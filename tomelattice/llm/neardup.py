@@ -15,6 +15,8 @@ Copies with equal sets are one class, so their number does not multiply any work
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +26,8 @@ from tomelattice.llm.arrow import text_batches
 from tomelattice.llm.setsim import BLANK, levels_of, overlaps, set_hash, survey, text_sets
 from tomelattice.session import stage
 
-#: Index entries to a task, and pairs expanded at once, about.
-ENTRIES, PAIRS = 1_000_000, 2_000_000
+#: Index entries to a task, pairs expanded at once, and pairs a task holds, about.
+ENTRIES, PAIRS, HELD = 1_000_000, 2_000_000, 4_000_000
 
 
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -70,10 +72,11 @@ def _indexer(levels, threshold: float, parts: int):
     return index
 
 
-def join_lists(element: np.ndarray, owner: np.ndarray, place: np.ndarray, size: np.ndarray, sizes_of: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def join_lists(element: np.ndarray, owner: np.ndarray, place: np.ndarray, size: np.ndarray, sizes_of: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of owners with a common indexed element, as low * len(sizes_of) + high, and how many they have.
 
-    Entries are parallel arrays; owners number the sets, sizes_of has their sizes.
+    Entries are parallel arrays; owners number the sets, sizes_of has their sizes.  A pair may come
+    several times, its numbers to be added: no more than about HELD pairs are held at once.
     """
     order = np.lexsort((owner, size, element))
     element, owner, place, size = element[order], owner[order], place[order], size[order]
@@ -88,7 +91,7 @@ def join_lists(element: np.ndarray, owner: np.ndarray, place: np.ndarray, size:
     count = end - np.arange(len(key)) - 1
     total = np.concatenate([[0], np.cumsum(count)])
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    begin = 0
+    begin = held = 0
     while begin < len(key):
         stop = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS, "right")) - 1)
         n = count[begin:stop]
@@ -100,10 +103,16 @@ def join_lists(element: np.ndarray, owner: np.ndarray, place: np.ndarray, size:
         ok = most >= least
         a, b = owner[left[ok]], owner[right[ok]]
         found.append(np.unique(np.minimum(a, b) * len(sizes_of) + np.maximum(a, b), return_counts=True))
-        if len(found) > 16:
+        held += len(found[-1][0])
+        if held > HELD:
             found = [_add(found)]
+            held = len(found[0][0])
+            if held > HELD / 2:
+                yield found.pop()
+                held = 0
         begin = stop
-    return _add(found) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if found:
+        yield _add(found)
 
 
 def _add(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,18 +121,21 @@ def _add(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
 
 
 def _joiner(threshold: float):
-    def join(table: pa.Table) -> pa.Table:
-        cols = {k: table.column(k).to_pylist() for k in ("elements", "places", "counts", "classes", "sizes")}
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = {k: [] for k in ("elements", "places", "counts", "classes", "sizes")}
+        for batch in batches:
+            for k, c in cols.items():
+                c += batch.column(k).to_pylist()
         element = np.concatenate([np.frombuffer(x, np.uint64) for x in cols["elements"]])
         place = np.concatenate([np.frombuffer(x, np.uint16 if len(x) * 4 == len(e) else np.uint32).astype(np.int64) for x, e in zip(cols["places"], cols["elements"])])
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in cols["counts"]])
-        classes, back, = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in cols["classes"]]), return_inverse=True)
+        classes, back = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in cols["classes"]]), return_inverse=True)
         sizes_of = np.zeros(len(classes), np.int64)
         sizes_of[back] = np.concatenate([np.frombuffer(x, np.uint32) for x in cols["sizes"]])
         owner = np.repeat(back, counts)
-        keys, n = join_lists(element, owner, place, sizes_of[owner], sizes_of, threshold)
-        a, b = keys // len(classes), keys % len(classes)
-        return pa.table({"a": classes[a], "b": classes[b], "size_a": sizes_of[a], "size_b": sizes_of[b], "hits": n})
+        for keys, n in join_lists(element, owner, place, sizes_of[owner], sizes_of, threshold):
+            a, b = keys // len(classes), keys % len(classes)
+            yield pa.record_batch([pa.array(x) for x in (classes[a], classes[b], sizes_of[a], sizes_of[b], n)], ["a", "b", "size_a", "size_b", "hits"])
 
     return join
 

@@ -125,6 +125,37 @@ class BlockIndex:
         return self.counts
 
 
+def _verify_block(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    of = {r: np.frombuffer(e, np.uint64) for r, e in zip(sets["ref"], sets["elements"])}
+    pairs = pairs[pairs["a"].isin(of) & pairs["b"].isin(of)].reset_index(drop=True)
+    out = pairs[["a", "b"]].assign(common=0, size_a=0, size_b=0)
+    if not len(pairs):
+        return out
+    least = dict(zip(sets["ref"], sets["least"]))
+    place, right = pd.factorize(pairs["b"])
+    index = BlockIndex([of[r] for r in right])
+    common = np.zeros(len(pairs), np.int64)
+    groups = pairs.groupby("a", sort=False).indices
+    for a in sorted(groups, key=lambda r: (least[r], len(of[r]), r)):  # near-equal sets mostly share their least hash
+        rows = groups[a]
+        common[rows] = index.overlaps(of[a])[place[rows]]
+    sizes = {r: len(e) for r, e in of.items()}
+    return out.assign(common=common, size_a=pairs["a"].map(sizes), size_b=pairs["b"].map(sizes))
+
+
+def overlaps(self, query: np.ndarray) -> np.ndarray:
+        """Common elements of query, sorted and distinct, with every set of the index."""
+        if self.query is not None:
+            gone = np.setdiff1d(self.query, query, assume_unique=True)
+            come = np.setdiff1d(query, self.query, assume_unique=True)
+            if len(gone) + len(come) < len(query):
+                self.counts = self.counts - self._count(gone) + self._count(come)
+                self.query = query
+                return self.counts
+        self.query, self.counts = query, self._count(query)
+        return self.counts
+
+
 def _verify_block(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     out = {"a": [], "b": [], "common": [], "size_a": [], "size_b": []}
     if len(pairs) and len(sets):
