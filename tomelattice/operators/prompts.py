@@ -61,8 +61,9 @@ def alike(prompts: DataFrame, threshold: float = SIMILAR_AT, max_length: int = S
     """(id_a, id_b, similarity), id_a < id_b: prompts of an id and a text that count as the same.
 
     A similarity of t leaves floor((1 - t) * n) edits in a text of n characters; cut into one piece
-    more, it has a piece that the other text holds unchanged, shifted by as many places at most.  So
-    texts meet by equal pieces, not each with each; texts that are equal once normalized have
+    more, it has a piece that the other text holds unchanged.  Of these there is one with as many
+    edits before it as pieces at most, and behind it likewise, which limits how far it is shifted.
+    So texts meet by equal pieces, not each with each; texts that are equal once normalized have
     similarity 1 at any length and meet through one of them.
     """
     t = threshold_or_default(threshold)
@@ -78,11 +79,13 @@ def alike(prompts: DataFrame, threshold: float = SIMILAR_AT, max_length: int = S
     # A shorter text meets cut texts of its length up to 1 / t of it.
     lengths = short.select(F.col("p").alias("q"), F.col("n").alias("m"), F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / F.lit(max(t, 0.01)) + 1e-9).cast("int"))).alias("n"))
     offered = lengths.withColumn("k", F.floor(F.lit(1 - t) * F.col("n") + 1e-9).cast("int")).select("q", "m", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
-    offered = offered.select("q", "m", "n", "k", begin.alias("at"), (end - begin).alias("size")).where("size > 0")
-    shifts = F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("k")), F.least(F.col("m") - F.col("size"), F.col("at") + F.col("k")))
-    offered = offered.where("m - size >= greatest(0, at - k)").select("q", "n", "at", F.explode(F.array_distinct(F.transform(shifts, lambda s: F.substring(F.col("q"), s + 1, F.col("size"))))).alias("piece"))
+    offered = offered.select("q", "m", "n", "k", "i", begin.alias("at"), (end - begin).alias("size")).where("size > 0")
+    offered = offered.withColumn("low", F.expr("greatest(0, at + greatest(-i, m - n - (k - i)))")).withColumn("high", F.expr("least(m - size, at + least(i, m - n + (k - i)))"))
+    shifts = F.sequence("low", "high")
+    offered = offered.where("low <= high").select("q", "n", "at", F.explode(F.array_distinct(F.transform(shifts, lambda s: F.substring(F.col("q"), s + 1, F.col("size"))))).alias("piece"))
     met = pieces.select("p", "n", "at", "piece").join(offered, ["n", "at", "piece"]).where((F.length("q") < F.col("n")) | (F.col("q") < F.col("p"))).select("p", "q").distinct()
-    close = met.withColumn("similarity", similarity("p", "q")).where(F.col("similarity") >= t - 1e-12)
+    near = met.where(F.expr(f"levenshtein(p, q, cast(floor({1 - t!r} * length(p) + 1e-9) as int)) >= 0"))  # gives up early
+    close = near.withColumn("similarity", similarity("p", "q")).where(F.col("similarity") >= t - 1e-12)
     a, b = (rows.select(F.col("id").alias(i), F.col("p").alias(c)) for i, c in (("u", "p"), ("v", "q")))
     across = close.join(a, "p").join(b, "q").select("u", "v", "similarity")
     same = rows.join(texts, "p").where(F.col("id") != F.col("of")).select(F.col("of").alias("u"), F.col("id").alias("v"), F.lit(1.0).alias("similarity"))
