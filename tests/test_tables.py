@@ -154,6 +154,17 @@ def test_hierarchy_against_plain(spark):
         assert len(r.path) == place[r.node][0] + 1 and r.path[0] == place[r.node][1] and r.path[-1] == r.node
 
 
+def test_cycles_by_either_way(spark, monkeypatch):
+    from tomelattice.operators import hierarchy
+
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("f", "g"), ("x", "a"), ("s", "s"), ("g", "h"), ("h", "g2"), ("g2", "g"), ("g", "y")]
+    df = spark.createDataFrame(links, "parent string, child string")
+    want = {"a", "b", "c", "d", "e", "s", "g", "h", "g2"}
+    assert {r.node for r in hierarchy.on_cycle(df).collect()} == want
+    monkeypatch.setattr(hierarchy, "PAIRS", 0)
+    assert {r.node for r in hierarchy.on_cycle(df).collect()} == want
+
+
 def test_deep_chain_and_empty(spark):
     chain = spark.range(300).selectExpr("lpad(cast(id as string), 4, '0') as node_id", "array(lpad(cast(id + 1 as string), 4, '0')) as children_ids")
     assert {r.node_depth for r in Hierarchy(chain).table().collect()} == set(range(300))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tomelattice.session import Stage, stage
 
-#: Siblings that one window sorts at most, about.
-SIBLINGS = 1 << 16
+#: Siblings that one window sorts at most, about; pairs of nodes to a link that may be listed to find cycles.
+SIBLINGS, PAIRS = 1 << 16, 64
 
 
 class _Loop:
@@ -157,13 +157,28 @@ def _trim(links: DataFrame) -> _Loop:
     return rest
 
 
+def _closed(links: DataFrame, most: int) -> DataFrame | None:
+    """(node) of links on cycles, from all pairs of a node and one it leads to, by steps of 1, 2, 4, ... links; None if there are more pairs than most."""
+    reach = _Loop(links.select(F.col("parent").alias("a"), F.col("child").alias("b")), pairs=F.count(F.lit(1)))
+    before = -1
+    while reach.seen["pairs"] != before:
+        before = reach.seen["pairs"]
+        if before > most:
+            return None
+        t = reach.df
+        further = t.select("a", F.col("b").alias("m")).join(t.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+        reach.replace(t.union(further).distinct())
+    return reach.df.where("a = b").select(F.col("a").alias("node"))
+
+
 def on_cycle(links: DataFrame) -> DataFrame:
     """(node): nodes that can be reached from themselves along links (parent, child).
 
-    Ends of chains are trimmed round by round, from both sides.  In what is left, every node takes
-    the greatest id that leads to it as its colour; nodes that lead back to the node their colour is
-    named after, within the colour, form a strongly connected component.  Those leave, and the rest
-    is treated again.
+    Ends of chains are trimmed round by round, from both sides.  What is left are mostly small
+    groups, of which all pairs of nodes that lead to each other are found in few rounds.  If there
+    are more than PAIRS of them for each link, every node takes instead the greatest id that leads
+    to it as its colour; nodes that lead back to the node their colour is named after, within the
+    colour, form a strongly connected component.  Those leave, and the rest is treated again.
     """
     found = [links.where("parent = child").select(F.col("child").alias("node"))]
     rest = links.where("parent <> child").select("parent", "child")
@@ -172,6 +187,10 @@ def on_cycle(links: DataFrame) -> DataFrame:
         if not trimmed.seen["left"]:
             break
         e = trimmed.df
+        rings = _closed(e, PAIRS * trimmed.seen["left"])
+        if rings is not None:
+            found.append(rings)
+            break
         every = e.select(F.col("parent").alias("node")).union(e.select("child")).distinct()
         colours = _spread(e, every.select("node", F.col("node").alias("label")), "parent", "child")
         inside = stage(
