@@ -264,3 +264,15 @@ def test_frequencies(spark):
     got = {(r.src, r.term): (r.records, r.total, r.mark) for r in terms.frequencies(df).collect()}
     assert got == want
     assert terms.frequencies(df.limit(0)).count() == 0
+
+
+def test_learned_from_all_texts(spark):
+    """What is only in the last, short text among long ones is known as well."""
+    rng = random.Random(7)
+    zh = "".join(rng.choices("数据库服务器在线备份应当立即检查配置的和由记录，。系统通知恢复", k=60_000)) + "\n"
+    ru = [" ".join(rng.choices(["журнал", "очередь", "проверка", "узел", "запись", "сервер"], k=60)) for _ in range(21)]
+    rows = [("a", "long", zh * 33), ("b", "clean", "\n".join(ru[:20])), ("c", "bad", mojibake.garble(ru[20], "utf-8>cp1252"))]
+    texts = spark.createDataFrame(rows, "src string, ref string, text string").coalesce(1)
+    assert set(map(ord, "".join(ru[:20]))) - {32, 10} <= set(mojibake.learn(texts.select("text")).clean.tolist())
+    got = {r.ref: r.restored for r in mojibake.garbled(texts).collect()}
+    assert got == {"bad": ru[20]}

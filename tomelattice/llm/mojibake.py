@@ -3,16 +3,19 @@
 The model has one clean state and one state for every way of decoding wrongly: encoded as A, read as
 B, once or several times.  It emits the characters above ASCII; the probability of a character
 depends on the state, on what kind of character precedes it and on what kind follows.  Emissions are
-learned from a bounded sample of the texts: clean text as it is, every other state from clean text
-that was sent through its encodings; what a first model labels as garbled is taken out of the clean
-text before the model is learned again.  Viterbi decoding labels the characters, and each labelled
+learned from counts over all texts: clean text as it is, every other state from clean text that was
+sent through its encodings; what a first model labels as garbled is taken out of the counts before
+the model is learned again.  Viterbi decoding labels the characters, and each labelled
 span gets the inverse of its state's transform.
 """
 
 from __future__ import annotations
 
 import codecs
+import copy
+import pickle
 import re
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -38,8 +41,8 @@ PAIRS: dict[str, tuple[tuple[str, str], ...]] = {
     "cp850>cp1252": (("cp850", "cp1252"),),
     "latin-1>utf-8": (("latin-1", "utf-8"),),
 }
-#: Texts and characters the model is learned from at most, and passes over them.
-SAMPLE, SAMPLE_CHARS, PASSES = 2000, 2_000_000, 3
+#: Passes over the texts that the model is learned in.
+PASSES = 3
 #: Log probabilities of entering and of leaving a garbled state.
 ENTER, LEAVE = -8.0, -3.0
 #: Share of emissions that any character may have, and its probability then.
@@ -133,14 +136,52 @@ class Symbols:
                 a, b = np.searchsorted(self.places, m.span())
                 self.quoted[a:b] = True
 
+    def only(self, at: np.ndarray) -> Symbols:
+        """The symbols of some places."""
+        out = copy.copy(self)
+        for name in ("places", "codes", "before", "after", "text", "quoted"):
+            setattr(out, name, getattr(self, name)[at])
+        return out
+
+
+def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each occurs."""
+    if len(keys) and keys.max() < 1 << 23:
+        n = np.bincount(keys)
+        at = np.flatnonzero(n)
+        return at, n[at]
+    return np.unique(keys, return_counts=True)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of several tallies, without what sums to nothing."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, at, np.concatenate([n for _, n in parts]))
+    return keys[n != 0], n[n != 0]
+
 
 class Counts:
     """How often characters occur, by what kind of character precedes and follows them; all that is kept of texts while learning."""
 
-    def __init__(self, s: Symbols) -> None:
-        self.before = np.unique(s.codes.astype(np.int64) * KINDS + s.before, return_counts=True)
-        self.after = np.unique(s.codes.astype(np.int64) * KINDS + s.after, return_counts=True)
-        self.codes = np.unique(s.codes)
+    def __init__(self, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray]) -> None:
+        self.before, self.after = before, after
+        self.codes = np.unique(before[0] // KINDS)
+
+    @staticmethod
+    def of(s: Symbols, used: np.ndarray | slice = slice(None)) -> Counts:
+        codes = s.codes[used].astype(np.int64) * KINDS
+        return Counts(_tally(codes + s.before[used]), _tally(codes + s.after[used]))
+
+    @staticmethod
+    def merged(parts: list[Counts]) -> Counts:
+        return Counts(_merged([p.before for p in parts]), _merged([p.after for p in parts]))
+
+    def without(self, other: Counts) -> Counts:
+        return Counts(*(_merged([x, (k, -n)]) for x, (k, n) in ((self.before, other.before), (self.after, other.after))))
+
+    def __reduce__(self):
+        return _spread, tuple((np.diff(k, prepend=0).astype(np.int32), n) for k, n in (self.before, self.after))
 
     def tables(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts by character of chars (rows) and kind (columns)."""
@@ -152,6 +193,10 @@ class Counts:
         return out[0], out[1]
 
 
+def _spread(*pairs: tuple[np.ndarray, np.ndarray]) -> Counts:
+    return Counts(*((np.cumsum(steps, dtype=np.int64), n) for steps, n in pairs))
+
+
 class Model:
     """Gains in log probability of every state over the clean one, by character and neighbours."""
 
@@ -160,34 +205,61 @@ class Model:
         self.chars, self.clean = chars, clean.codes
         n = len(chars)
         kind = kinds()[chars].astype(int)
-        follow, precede = [], []
-        for s in (clean, *garbled):
+        self.follow = np.zeros((n * KINDS, len(garbled)), np.float32)
+        self.precede = np.zeros((n * KINDS, len(garbled)), np.float32)
+        for k, s in enumerate((clean, *garbled)):
             both, after = s.tables(chars)
             alone = both.sum(axis=1)
             p = (1 - _LOOSE) * alone / max(alone.sum(), 1) + _LOOSE * _ANY
             # Of the preceding kind: its own counts as far as there are any, else those of the state.
             given = (both + 20 * p[:, None]) / (both.sum(axis=0) + 20)
-            follow.append(np.log((1 - _LOOSE) * given + _LOOSE * _ANY))
+            follow = np.log((1 - _LOOSE) * given + _LOOSE * _ANY)
             by_kind = np.zeros((KINDS, KINDS))
             np.add.at(by_kind, kind, after)
             by_kind = (by_kind + 1) / (by_kind.sum(axis=1, keepdims=True) + KINDS)
-            precede.append(np.log((after + 5 * by_kind[kind]) / (after.sum(axis=1, keepdims=True) + 5)))
-        self.follow = np.stack([f - follow[0] for f in follow[1:]], -1).reshape(n * KINDS, -1).astype(np.float32)
-        self.precede = np.stack([f - precede[0] for f in precede[1:]], -1).reshape(n * KINDS, -1).astype(np.float32)
+            precede = np.log((after + 5 * by_kind[kind]) / (after.sum(axis=1, keepdims=True) + 5))
+            if k:
+                self.follow[:, k - 1] = (follow - plain[0]).ravel()
+                self.precede[:, k - 1] = (precede - plain[1]).ravel()
+            else:
+                plain = follow, precede
+        self.most = self.follow.max(axis=1), self.precede.max(axis=1)
+        self.counts = clean, garbled
+
+    def __reduce__(self):
+        """Sent as the counts, which are far smaller than the tables made of them."""
+        return _unpacked, (zlib.compress(pickle.dumps(self.counts), 1),)
+
+    def _rows(self, s: Symbols) -> tuple[np.ndarray, np.ndarray]:
+        c = np.searchsorted(self.chars, s.codes)
+        c[c == len(self.chars)] = 0
+        return c * KINDS, self.chars[c] == s.codes
+
+    def bounds(self, s: Symbols) -> np.ndarray:
+        """What no state's gain exceeds, for every symbol."""
+        if not len(self.chars):
+            return np.full(len(s.codes), -1.0, np.float32)
+        c, known = self._rows(s)
+        out = self.most[0][c + s.before] + self.most[1][c + s.after]
+        out[~known] = -1
+        out[s.quoted] = -50
+        return out
 
     def gains(self, s: Symbols) -> np.ndarray:
         """A row of gains for every symbol; unknown characters and quoted ones speak for the clean state."""
         if not len(self.chars):
             return np.full((len(s.codes), len(PAIRS)), -1.0, np.float32)
-        c = np.searchsorted(self.chars, s.codes)
-        c[c == len(self.chars)] = 0
-        known = self.chars[c] == s.codes
-        out = self.follow[c * KINDS + s.before] + self.precede[c * KINDS + s.after]
+        c, known = self._rows(s)
+        out = self.follow[c + s.before] + self.precede[c + s.after]
         out[~known] = -1
         out[s.quoted] = -50
         return out
 
 
+def _unpacked(data: bytes) -> Model:
+    return Model(*pickle.loads(zlib.decompress(data)))
+
+
 def _worth_decoding(gains: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Texts in which some run of symbols gains more than entering and leaving costs, whatever states it takes; the others are clean."""
     best = gains.max(axis=1)
@@ -240,15 +312,19 @@ def viterbi(gains: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def label(model: Model, texts: list[str]) -> tuple[Symbols, np.ndarray]:
-    """The texts' symbols and their states."""
+    """The texts' symbols and their states.  Most clean texts are known by bounds of their gains already."""
     s = Symbols(texts)
     labels = np.zeros(len(s.codes), np.int64)
     if len(s.codes):
-        gains = model.gains(s)
         bounds = np.searchsorted(s.places, s.begins)
-        worth = _worth_decoding(gains, bounds)
-        for i, x in zip(worth.tolist(), viterbi([gains[bounds[i] : bounds[i + 1]] for i in worth.tolist()]) if len(worth) else []):
-            labels[bounds[i] : bounds[i + 1]] = x
+        some = _worth_decoding(model.bounds(s)[:, None], bounds)
+        if len(some):
+            at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in some.tolist()])
+            gains = model.gains(s.only(at))
+            within = np.concatenate([[0], np.cumsum(bounds[some + 1] - bounds[some])])
+            worth = _worth_decoding(gains, within)
+            for i, x in zip(worth.tolist(), viterbi([gains[within[i] : within[i + 1]] for i in worth.tolist()]) if len(worth) else []):
+                labels[bounds[some[i]] : bounds[some[i] + 1]] = x
     return s, labels
 
 
@@ -274,19 +350,91 @@ def surely_garbled(text: str) -> bool:
 _LETTERS = " ".join(f"e{chr(c)}n {chr(c)}n e{chr(c)}" for c in range(0xC0, 0x100) if chr(c).isalpha())
 
 
-def learn(texts: list[str], passes: int = PASSES) -> Model:
-    """A model from texts of which most are clean."""
-    marked = {i for i, t in enumerate(texts) if surely_garbled(t)}
-    for n in range(passes):
-        base = [t for i, t in enumerate(texts) if i not in marked]
-        symbols = Symbols(base)
-        for name in ("codes", "before", "after"):
-            setattr(symbols, name, getattr(symbols, name)[~symbols.quoted])
-        model = Model(Counts(symbols), [Counts(Symbols([garble(t, k) for t in (*base, _LETTERS)])) for k in PAIRS])
-        if n < passes - 1:
-            s, labels = label(model, texts)
-            marked |= {i for i in np.unique(s.text[labels > 0]).tolist() if checked(model, texts[i], *_of(s, labels, i))}
-    return model
+#: An ASCII run between other characters: its first two characters and its last one are all that neighbours see, garbled or not.
+_RUN = re.compile(r"([\x00-\x7f]{2})[\x00-\x7f]+(?=[\x00-\x7f])")
+
+
+def _counted(texts: list[str]) -> list[Counts]:
+    """Counts of the texts as they are, without quotations, and of what each garbled state makes of them."""
+    s = Symbols(texts)
+    short = _RUN.sub(r"\1", "\n".join(texts))
+    return [Counts.of(s, ~s.quoted), *(Counts.of(Symbols([garble(short, k)])) for k in PAIRS)]
+
+
+def _marks(model: Model, texts: list[str]) -> list[int]:
+    """Which of the texts the model finds garbled."""
+    s, labels = label(model, texts)
+    return [i for i in np.unique(s.text[labels > 0]).tolist() if checked(model, texts[i], *_of(s, labels, i))]
+
+
+_PARTS = "state int, keys binary, n binary, after_keys binary, after_n binary"
+
+
+def _to_rows(counts: list[Counts]) -> pa.RecordBatch:
+    columns = [[x.astype(np.int64).tobytes() for c in counts for x in (pair(c),)] for pair in (lambda c: c.before[0], lambda c: c.before[1], lambda c: c.after[0], lambda c: c.after[1])]
+    return pa.record_batch([pa.array(range(len(counts)), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["state", "keys", "n", "after_keys", "after_n"])
+
+
+def _from_row(r: dict) -> Counts:
+    x = {k: np.frombuffer(v, np.int64) for k, v in r.items() if k != "state"}
+    return Counts((x["keys"], x["n"]), (x["after_keys"], x["after_n"]))
+
+
+def _counter(shared):
+    """Counts of this task's texts: of those not surely garbled or, when there are models, of those that the last one is the first to mark."""
+
+    def work(batches):
+        models = shared.value
+        total: list[list[Counts]] = []
+        for _, texts in text_batches(batches, "text"):
+            if models:
+                texts = [texts[i] for i in _marks(models[-1], texts)]
+            base = [t for t in texts if not surely_garbled(t) and not any(_marks(m, [t]) for m in models[:-1])]
+            if base:
+                total.append(_counted(base))
+            if len(total) > 15:
+                total = [[Counts.merged(list(x)) for x in zip(*total)]]
+        if total:
+            yield _to_rows([Counts.merged(list(x)) for x in zip(*total)])
+
+    return work
+
+
+def _merge_counts(batches):
+    total: dict[int, Counts] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            c = _from_row(r)
+            total[r["state"]] = Counts.merged([total[r["state"]], c]) if r["state"] in total else c
+    for k, c in total.items():
+        yield _to_rows([c]).set_column(0, "state", pa.array([k], pa.int32()))
+
+
+def _counts(texts: DataFrame, models: list[Model]) -> list[Counts]:
+    """Counts over all texts, for the clean state and each garbled one; at most characters times kinds of them come to the driver."""
+    shared = texts.sparkSession.sparkContext.broadcast(models)
+    rows = texts.mapInArrow(_counter(shared), _PARTS)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    out = [Counts(none, none) for _ in range(len(PAIRS) + 1)]
+    for r in rows.repartition(len(out), "state").mapInArrow(_merge_counts, _PARTS).toLocalIterator():
+        out[r["state"]] = _from_row(r.asDict())
+    shared.destroy()
+    return out
+
+
+def learn(texts: DataFrame, passes: int = PASSES) -> Model:
+    """A model from all texts (text), of which most are clean.
+
+    Everything is counted once; later passes take out the counts of the texts that the model so far marks.
+    """
+    letters = [Counts.of(Symbols([garble(_LETTERS, k)])) for k in PAIRS]
+    models: list[Model] = []
+    counts: list[Counts] = []
+    for _ in range(passes):
+        new = _counts(texts, models)
+        counts = [a.without(b) for a, b in zip(counts, new)] if counts else new
+        models.append(Model(counts[0], [Counts.merged([c, x]) for c, x in zip(counts[1:], letters)]))
+    return models[-1]
 
 
 def _of(s: Symbols, labels: np.ndarray, text: int) -> tuple[np.ndarray, np.ndarray]:
@@ -367,20 +515,6 @@ def _worker(shared):
     return work
 
 
-def sample(texts: DataFrame) -> list[str]:
-    """At most SAMPLE texts of SAMPLE_CHARS characters together, by hash: what the model is learned from."""
-    known = texts.where("text is not null and text <> ''")
-    every = max(1, known.count() // SAMPLE)
-    rows = known.where(F.pmod(F.xxhash64("src", "ref", "text"), F.lit(every)) == 0).select("text").limit(SAMPLE).toLocalIterator()
-    out, size = [], 0
-    for (t,) in rows:
-        if size + len(t) > SAMPLE_CHARS:
-            continue
-        out.append(t)
-        size += len(t)
-    return out
-
-
 def garbled(texts: DataFrame) -> DataFrame:
     """(src, ref, spans, restored, whole) for every text of (src, ref, text) that was decoded wrongly in part.
 
@@ -390,5 +524,6 @@ def garbled(texts: DataFrame) -> DataFrame:
     rows have a row each; an empty table gives an empty result.
     """
     texts = texts.select("src", "ref", "text")
-    model = learn(sample(texts))
-    return texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInArrow(_worker(texts.sparkSession.sparkContext.broadcast(model)), "src string, ref string, spans array<struct<begin: long, end: long, pair: string>>, restored string, whole boolean")
+    known = texts.where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    model = learn(known.select("text"))
+    return known.mapInArrow(_worker(texts.sparkSession.sparkContext.broadcast(model)), "src string, ref string, spans array<struct<begin: long, end: long, pair: string>>, restored string, whole boolean")
