@@ -276,3 +276,13 @@ def test_learned_from_all_texts(spark):
     assert set(map(ord, "".join(ru[:20]))) - {32, 10} <= set(mojibake.learn(texts.select("text")).clean.tolist())
     got = {r.ref: r.restored for r in mojibake.garbled(texts).collect()}
     assert got == {"bad": ru[20]}
+
+
+def test_unknown_script_is_restored(spark):
+    """Garbled text in a script that no clean text has, but that a strict inverse restores, is found."""
+    rng = random.Random(8)
+    zh = ["".join(rng.choices("数据库服务器在线备份应当立即检查配置的和由记录，。、「」系统通知恢复", k=80)) for _ in range(300)]
+    kana = "".join(rng.choices("あいうえおかきくけこさしすせそたちつてとなにぬねの", k=40))
+    rows = [("a", str(i), t) for i, t in enumerate(zh)] + [("c", "bad", mojibake.garble(kana, "utf-8>latin-1"))]
+    got = {r.ref: r.restored for r in mojibake.garbled(spark.createDataFrame(rows, "src string, ref string, text string")).collect()}
+    assert got == {"bad": kana}

@@ -47,6 +47,7 @@ PASSES = 3
 ENTER, LEAVE = -8.0, -3.0
 #: Share of emissions that any character may have, and its probability then.
 _LOOSE, _ANY = 0.01, 1e-5
+_CONTROL = re.compile("[\x80-\x9f]")
 _QUOTED = re.compile(r"(?<!`)`[^`\n]+`(?!`)")
 
 # Kinds of characters, by ranges of code points; a range has one kind or (upper case, others).
@@ -119,7 +120,7 @@ def restore(text: str, state: str) -> tuple[str, bool]:
 class Symbols:
     """The characters above ASCII of some texts, with the kinds of their neighbours."""
 
-    def __init__(self, texts: list[str]) -> None:
+    def __init__(self, texts: list[str], quotes: bool = True) -> None:
         joined = "\n".join(texts) + "\n"
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
@@ -131,7 +132,7 @@ class Symbols:
         self.after = k[codes[self.places + 1]]
         self.text = np.searchsorted(self.begins, self.places, "right") - 1
         self.quoted = np.zeros(len(self.places), bool)
-        if "`" in joined:
+        if quotes and "`" in joined:
             for m in _QUOTED.finditer(joined):
                 a, b = np.searchsorted(self.places, m.span())
                 self.quoted[a:b] = True
@@ -331,10 +332,10 @@ def label(model: Model, texts: list[str]) -> tuple[Symbols, np.ndarray]:
 def surely_garbled(text: str) -> bool:
     """Whether the text holds what only wrong decoding leaves, or a line that is UTF-8 once more when encoded as it was read."""
     text = _QUOTED.sub("", text)
-    if "�" in text or "锟斤拷" in text or any(0x80 <= ord(c) < 0xA0 for c in text):
+    if "�" in text or "锟斤拷" in text or _CONTROL.search(text):
         return True
     for line in text.split("\n"):
-        if sum(c > "\x7f" for c in line) > 1:
+        if not line.isascii() and len(line) - len(line.encode("ascii", "ignore")) > 1:
             for steps in PAIRS.values():
                 true, read = steps[-1]
                 if true == "utf-8" and len(steps) == 1:
@@ -358,7 +359,7 @@ def _counted(texts: list[str]) -> list[Counts]:
     """Counts of the texts as they are, without quotations, and of what each garbled state makes of them."""
     s = Symbols(texts)
     short = _RUN.sub(r"\1", "\n".join(texts))
-    return [Counts.of(s, ~s.quoted), *(Counts.of(Symbols([garble(short, k)])) for k in PAIRS)]
+    return [Counts.of(s, ~s.quoted), *(Counts.of(Symbols([garble(short, k)], quotes=False)) for k in PAIRS)]
 
 
 def _marks(model: Model, texts: list[str]) -> list[int]:
@@ -443,19 +444,36 @@ def _of(s: Symbols, labels: np.ndarray, text: int) -> tuple[np.ndarray, np.ndarr
     return s.places[a:b] - s.begins[text], labels[a:b]
 
 
+def proven(span: str, restored: str, whole: bool, state: str) -> bool:
+    """Whether a lossless inverse alone shows that the span was garbled.
+
+    Only UTF-8 that was read otherwise, and GB2312 pairs read as latin-1, hardly ever arise by
+    chance; any Cyrillic word is valid GBK, and any byte a character of cp850.
+    """
+    if not whole or restored == span:
+        return False
+    if state == "gbk>latin-1":
+        try:
+            return len(_encode(span, "latin-1", "strict").decode("gb2312")) > 1
+        except UnicodeError:
+            return False
+    return all(true == "utf-8" for true, _ in PAIRS[state])
+
+
 def checked(model: Model, text: str, places: np.ndarray, labels: np.ndarray) -> list[tuple[int, int, str]]:
     """The text's spans without those that cannot be what their state makes.
 
-    What is restored has to consist, by more than half, of characters known from clean text; states
-    that lose most characters have to have left a sign of it.
+    What is restored has to be proven by a lossless inverse or to consist, by more than half, of
+    characters known from clean text; states that lose most characters have to have left a sign of it.
     """
     out = []
     for begin, end, state in spans(text, places, labels):
         if ("gbk", "utf-8") in PAIRS[state] or state == "latin-1>utf-8":
             good = any(c in "�锟斤拷" for c in text[begin:end])
         else:
-            high = [ord(c) for c in undo(text, begin, end, state)[0] if c > "\x7f" and c != "�"]
-            good = 2 * np.isin(high, model.clean).sum() > len(high)
+            restored, whole, to = undo(text, begin, end, state)
+            high = [ord(c) for c in restored if c > "\x7f" and c != "�"]
+            good = proven(text[begin:to], restored, whole, state) or 2 * np.isin(high, model.clean).sum() > len(high)
         if good:
             out.append((begin, end, state))
     return out
