@@ -175,3 +175,11 @@ def test_offline_model(spark, nodes, entries):
     q = spark.createDataFrame([(1, "Java tutorial"), (2, "law")], "query_id int, query string")
     found, log = nav.navigate(q, nodes, "root", entries, None, OfflineProvider())
     assert {(r.query_id, r.chunk_id) for r in found.collect()} == {(1, "chunk1"), (2, "chunk2")} and log.count() == 2
+
+
+def test_every_document_describes_its_category(spark):
+    """Keywords of documents beyond the first prompt are among the category's."""
+    docs, _ = docs_of(spark, [(f"d{i:03d}", f"word{i:03d}", []) for i in range(205)])
+    said = ScriptedProvider(lambda p, kind: json.dumps(p.split(MARK)[1].split()))
+    got = trees.described(docs.selectExpr("'g' as group", "doc_id", "ordinal"), docs, said).collect()
+    assert [(r.group, sorted(r.keywords)) for r in got] == [("g", [f"word{i:03d}" for i in range(205)])]

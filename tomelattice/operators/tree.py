@@ -22,7 +22,7 @@ DEEPEST, PROMPT_SUMMARY, NAME_SUMMARY = 8, 200, 20
 CATEGORY, DOCUMENT, ROOT = "类别", "文档", "Root"
 #: Documents that one clustering prompt may hold; larger groups are first cut into three.
 CLUSTERED = 200
-#: Documents whose summaries describe a category to the model.
+#: Documents whose summaries one prompt holds that describes a category to the model.
 DESCRIBING = 100
 
 NODE = ["node_id", "name", "description", "type", "key_entities", "keywords", "example_questions"]
@@ -96,17 +96,25 @@ def clusters_of(groups: DataFrame, provider: Provider | None) -> DataFrame:
 
 
 def described(groups: DataFrame, docs: DataFrame, provider: Provider | None) -> DataFrame:
-    """(group, keywords, entities, questions): what a model says of the summaries of a group's documents; empty lists where it fails."""
+    """(group, keywords, entities, questions): what a model says of the summaries of a group's documents; empty lists where it fails.
+
+    All documents count: blocks of DESCRIBING summaries are asked for one by one, and a group has
+    the distinct entries of its blocks' lists in order.
+    """
     if provider is None:
         return groups.select("group").distinct().select("group", *(_none().alias(c) for c in ("keywords", "entities", "questions")))
-    first = ranked(groups.select("group", "doc_id", "ordinal"), ["group"], ["ordinal"], "_r").where(F.col("_r") <= DESCRIBING)
-    told = first.join(docs.select("doc_id", "summary"), "doc_id").groupBy("group").agg(F.sort_array(F.collect_list(F.struct("_r", "summary"))).alias("s"))  # DESCRIBING rows at most
+    placed = ranked(groups.select("group", "doc_id", "ordinal"), ["group"], ["ordinal"], "_r").withColumn("block", F.floor((F.col("_r") - 1) / DESCRIBING))
+    told = placed.join(docs.select("doc_id", "summary"), "doc_id").groupBy("group", "block").agg(F.sort_array(F.collect_list(F.struct("_r", "summary"))).alias("s"))  # DESCRIBING rows at most
     text = F.array_join(F.transform("s.summary", lambda x: F.coalesce(x, F.lit(""))), " ")
-    out = stage(told.select("group", text.alias("text")))
-    for column, kind in (("keywords", "EXTRACT_KEYWORDS"), ("entities", "EXTRACT_ENTITIES"), ("questions", "GENERATE_EXAMPLE_QUESTIONS")):
+    out = stage(told.select("group", "block", text.alias("text")))
+    lists = (("keywords", "EXTRACT_KEYWORDS"), ("entities", "EXTRACT_ENTITIES"), ("questions", "GENERATE_EXAMPLE_QUESTIONS"))
+    for column, kind in lists:
         answers = asked(out.withColumn("prompt", prompt(kind, "text")), kind, provider)
         out = stage(answers.withColumn(column, F.when(F.col("answer.success"), string_list("answer.content")).otherwise(_none())).drop("prompt", "answer"))
-    return out.drop("text")
+    merged = lambda c: F.array_distinct(F.flatten(F.transform("x", lambda b: F.coalesce(b[c], _none()))))
+    whole = out.groupBy("group").agg(F.min_by("keywords", "block").alias("_k"), F.min_by("entities", "block").alias("_e"), F.min_by("questions", "block").alias("_q"), F.sort_array(F.collect_list(F.struct("block", *(c for c, _ in lists)))).alias("x"))
+    # A single block's lists stay as the model gave them.
+    return stage(whole.select("group", *(F.when(F.size("x") == 1, F.col(first)).otherwise(merged(c)).alias(c) for (c, _), first in zip(lists, ("_k", "_e", "_q")))))
 
 
 class Tree:
