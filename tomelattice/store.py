@@ -19,7 +19,7 @@ from tomelattice.errors import StorageError
 POINTER = "current.json"
 
 
-class _Files:
+class Files:
     """The few file operations needed, on whatever file system a path is."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -67,7 +67,7 @@ class Store:
     """The tables of one knowledge base below a folder.  A table is one or several folders of files."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.files = spark, _Files(spark, root)
+        self.spark, self.files = spark, Files(spark, root)
 
     def pointer(self) -> dict | None:
         """What the committed version is, or None if there is none yet; a broken pointer is an error."""
