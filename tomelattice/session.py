@@ -64,14 +64,16 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Stage:
     """A result written to the shared folder, so that later steps start from files that outlive executors."""
 
-    def __init__(self, df: DataFrame, **counted: Column) -> None:
-        """counted: aggregates taken while writing, to be found in `seen`."""
+    def __init__(self, df: DataFrame, path: str | None = None, group_bytes: int = 128 << 20, **counted: Column) -> None:
+        """counted: aggregates taken while writing, to be found in `seen`; path: a place of the caller's, who removes it; group_bytes: of a file's row groups."""
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/stage-{uuid.uuid4().hex}"
+        self.path = path or f"{shared_dir(self.spark)}/stage-{uuid.uuid4().hex}"
         seen = Observation() if counted else None
-        (df.observe(seen, *(c.alias(k) for k, c in counted.items())) if counted else df).write.option("compression", "zstd").parquet(self.path)
+        out = df.observe(seen, *(c.alias(k) for k, c in counted.items())) if counted else df
+        out.write.option("compression", "zstd").option("parquet.block.size", group_bytes).parquet(self.path)
         self.seen: dict = seen.get if counted else {}
-        _written.append((self.spark, self.path))
+        if path is None:
+            _written.append((self.spark, self.path))
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
