@@ -4,9 +4,9 @@ Texts are sets of five-token shingles.  All sets are ordered by one global order
 first, and only the prefix of a set that must hold a common element with any partner is indexed.
 Index lists are joined with two kinds of skipping:
 
-* index level: a list is sorted by set size, so that partners of a set are one run of the list and
-  the blocks outside it are skipped; inside the run, entries whose position in their set leaves too
-  few elements for the threshold are skipped;
+* index level: a list is sorted by set size, so that partners of a set are one run of the list; the
+  run ends where the set's size, or its position in its set, allows no larger partner, and what lies
+  beyond is skipped without being looked at;
 * answer level: overlaps are counted per block of sets, and a set's counts are derived from those of
   a highly similar set by looking up only the elements in which they differ (setsim.BlockIndex).
 
@@ -23,119 +23,129 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomelattice.llm.arrow import text_batches
-from tomelattice.llm.setsim import BLANK, levels_of, overlaps, set_hash, survey, text_sets
-from tomelattice.session import stage
+from tomelattice.llm.setsim import BITS, BLANK, levels_of, overlaps, pack, set_hash, sets_of, survey, text_sets, unpack
+from tomelattice.llm.tokens import mix64
+from tomelattice.session import Stage, stage
 
-#: Index entries to a task, pairs expanded at once, and pairs a task holds, about.
-ENTRIES, PAIRS, HELD = 1_000_000, 2_000_000, 4_000_000
+#: Index entries to a task, pairs expanded at once, and pairs a task holds, about; rows of a class to a run.
+ENTRIES, PAIRS, HELD, RUN = 1_000_000, 2_000_000, 4_000_000, 1000
 
 
-def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
-    """Elements of a set of n of which one at least is common with any set of that similarity."""
-    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+def _rows(part: np.ndarray, element: np.ndarray, rest: np.ndarray, doc: np.ndarray, cls: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """A row for every part that occurs: its entries, grouped by document."""
+    order = np.lexsort((doc, part))
+    begins = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
+    rows: dict[str, list] = {k: [] for k in ("part", "elements", "rests", "counts", "classes", "sizes")}
+    for at in np.split(order, begins[1:]):
+        docs, counts = np.unique(doc[at], return_counts=True)
+        values = (part[at[0]], pack(element[at]), rest[at].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), cls[docs].tobytes(), size[docs].astype(np.uint32).tobytes())
+        for k, v in zip(rows, values):
+            rows[k].append(v)
+    return pa.record_batch([pa.array(rows["part"], pa.int64()), *(pa.array(rows[k], pa.binary()) for k in list(rows)[1:])], list(rows))
 
 
-def _indexer(levels, threshold: float, parts: int):
+def prefixes(n: np.ndarray, values: np.ndarray, at: np.ndarray, level: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (element, rest, set) of the prefixes, in the global order of frequency and hash, of the sets with BLANK tokens or more.
+
+    rest is the number of elements from the entry's on, by that order.
+    """
+    owner = np.repeat(np.arange(len(n)), np.diff(at))
+    good = (n >= BLANK)[owner]
+    owner, values = owner[good], values[good]
+    order = np.lexsort((levels_of(values, level).astype(np.uint64) << np.uint64(BITS) | values, owner))
+    size = np.diff(at) * (n >= BLANK)
+    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+    rest = size[owner] - (np.arange(len(owner)) - begin[owner])
+    keep = rest >= np.ceil(threshold * size - 1e-9)[owner]
+    return values[order][keep], rest[keep], owner[keep]
+
+
+def _indexer(level, threshold: float, parts: int):
+    """Entries of the prefixes by part.
+
+    The list of an element of more than ENTRIES / 2 sets is cut into k runs of sets by hash, and an
+    entry goes to each of the k parts for its run and another, so that every two meet somewhere.
+    """
+
     def index(batches):
-        level = levels.value
-        for batch, texts in text_batches(batches, "text"):
+        held: list[tuple] = []
+        entries = docs = 0
+        for _, texts in text_batches(batches, "text"):
             n, values, at = text_sets(texts)
-            cls = set_hash(values, at)
-            # The set's elements in global order: the sketch's level, then the hash.
-            ordered = (levels_of(values, level).astype(np.uint64) << np.uint64(56)) | (values >> np.uint64(8))
-            size = np.diff(at)
-            keep = []
-            for i in np.flatnonzero(n >= BLANK).tolist():
-                s = ordered[at[i] : at[i + 1]]
-                s.sort()
-                keep.append((i, s[: prefix_length(size[i : i + 1], threshold)[0]]))
-            if not keep:
-                continue
-            lengths = np.array([len(s) for _, s in keep])
-            element = np.concatenate([s for _, s in keep])
-            doc = np.repeat(np.arange(len(keep)), lengths)
-            place = np.arange(len(element)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            part = (element % np.uint64(1_000_003) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            which = np.array([i for i, _ in keep])
-            rows: dict[str, list] = {k: [] for k in ("part", "elements", "places", "counts", "classes", "sizes")}
-            for p in range(parts):
-                at_p = order[bounds[p] : bounds[p + 1]]
-                if not len(at_p):
-                    continue
-                docs, counts = np.unique(doc[at_p], return_counts=True)
-                for k, v in (("part", p), ("elements", element[at_p].tobytes()), ("places", place[at_p].astype(np.uint16 if place.max() < 65536 else np.uint32).tobytes()), ("counts", counts.astype(np.uint32).tobytes()), ("classes", cls[which[docs]].tobytes()), ("sizes", size[which[docs]].astype(np.uint32).tobytes())):
-                    rows[k].append(v)
-            yield pa.record_batch([pa.array(rows["part"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in list(rows)[1:])], list(rows))
+            cls, size = set_hash(values, at), np.diff(at)
+            element, rest, doc = prefixes(n, values, at, level.value, threshold)
+            runs = np.ceil(np.exp2(levels_of(element, level.value) / 8) / (ENTRIES / 2)).astype(np.int64)
+            each = np.repeat(np.arange(len(element)), runs)
+            other = np.arange(len(each)) - np.repeat(np.cumsum(runs) - runs, runs)
+            element, rest, doc, runs = element[each], rest[each], doc[each], runs[each]
+            own = (mix64(cls.view(np.uint64) + np.uint64(0x1F83D9AB)) >> np.uint64(8)).astype(np.int64)[doc] % runs
+            cell = np.minimum(own, other) * runs + np.maximum(own, other)
+            part = (mix64(element ^ mix64(cell.astype(np.uint64) + np.uint64(0x5BE0CD19))) % np.uint64(parts)).astype(np.int64)
+            held.append((part, element, rest, doc + docs, cls, size))
+            entries, docs = entries + len(element), docs + len(texts)
+            if entries > ENTRIES:
+                yield _rows(*map(np.concatenate, zip(*held)))
+                held, entries, docs = [], 0, 0
+        if entries:
+            yield _rows(*map(np.concatenate, zip(*held)))
 
     return index
 
 
-def join_lists(element: np.ndarray, owner: np.ndarray, place: np.ndarray, size: np.ndarray, sizes_of: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of owners with a common indexed element, as low * len(sizes_of) + high, and how many they have.
+def join_lists(element: np.ndarray, owner: np.ndarray, rest: np.ndarray, size: np.ndarray, n: int, threshold: float) -> Iterator[np.ndarray]:
+    """Pairs of owners, as low * n + high, with a common element after which both have enough of their sets left.
 
-    Entries are parallel arrays; owners number the sets, sizes_of has their sizes.  A pair may come
-    several times, its numbers to be added: no more than about HELD pairs are held at once.
+    Entries are parallel arrays; owners are numbers below n.  Sets of sizes a and b of the threshold
+    have alpha = t / (1 + t) * (a + b) elements in common, so that the first of those has a rest of
+    at least alpha in both.  Lists are in the order of size: an entry's partners that are no smaller
+    end where its size, or its place in its set, forbids more, and only those are visited.  A pair
+    may come several times; no more than about HELD are held at once.
     """
     order = np.lexsort((owner, size, element))
-    element, owner, place, size = element[order], owner[order], place[order], size[order]
+    element, owner, rest, size = element[order], owner[order], rest[order], size[order]
     keep = np.ones(len(element), bool)  # equal sets count once in a list
     keep[1:] = (element[1:] != element[:-1]) | (owner[1:] != owner[:-1])
-    element, owner, place, size = element[keep], owner[keep], place[keep], size[keep]
+    element, owner, rest, size = element[keep], owner[keep], rest[keep], size[keep]
     fresh = np.ones(len(element), bool)
     fresh[1:] = element[1:] != element[:-1]
-    lists = np.cumsum(fresh) - 1
-    key = lists.astype(np.int64) << 32 | size.astype(np.int64)
-    end = np.searchsorted(key, lists.astype(np.int64) << 32 | np.floor(size / threshold + 1e-9).astype(np.int64), "right")
-    count = end - np.arange(len(key)) - 1
+    lists = np.cumsum(fresh).astype(np.int64) - 1
+    key = lists << 32 | size
+    largest = np.floor(np.minimum(size / threshold, rest * (1 + threshold) / threshold - size) + 1e-9).astype(np.int64)
+    end = np.searchsorted(key, lists << 32 | np.maximum(largest, 0), "right")
+    count = np.maximum(end - np.arange(len(key)) - 1, 0)
     total = np.concatenate([[0], np.cumsum(count)])
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[np.ndarray] = []
     begin = held = 0
     while begin < len(key):
         stop = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS, "right")) - 1)
-        n = count[begin:stop]
-        left = np.repeat(np.arange(begin, stop), n)
-        right = left + 1 + np.arange(n.sum()) - np.repeat(total[begin:stop] - total[begin], n)
-        # Elements common at most, by what lies before and after both places.
-        most = np.minimum(place[left], place[right]) + np.minimum(size[left] - place[left], size[right] - place[right])
-        least = np.ceil(threshold / (1 + threshold) * (size[left] + size[right]) - 1e-9)
-        ok = most >= least
+        c = count[begin:stop]
+        left = np.repeat(np.arange(begin, stop), c)
+        right = left + 1 + np.arange(c.sum()) - np.repeat(total[begin:stop] - total[begin], c)
+        ok = np.minimum(rest[left], rest[right]) >= np.ceil(threshold / (1 + threshold) * (size[left] + size[right]) - 1e-9)
         a, b = owner[left[ok]], owner[right[ok]]
-        found.append(np.unique(np.minimum(a, b) * len(sizes_of) + np.maximum(a, b), return_counts=True))
-        held += len(found[-1][0])
+        found.append(np.unique(np.minimum(a, b) * n + np.maximum(a, b)))
+        held += len(found[-1])
         if held > HELD:
-            found = [_add(found)]
-            held = len(found[0][0])
+            found = [np.unique(np.concatenate(found))]
+            held = len(found[0])
             if held > HELD / 2:
                 yield found.pop()
                 held = 0
         begin = stop
     if found:
-        yield _add(found)
-
-
-def _add(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
+        yield np.unique(np.concatenate(found))
 
 
 def _joiner(threshold: float):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = {k: [] for k in ("elements", "places", "counts", "classes", "sizes")}
+        cols = {k: [] for k in ("elements", "rests", "counts", "classes", "sizes")}
         for batch in batches:
             for k, c in cols.items():
                 c += batch.column(k).to_pylist()
-        element = np.concatenate([np.frombuffer(x, np.uint64) for x in cols["elements"]])
-        place = np.concatenate([np.frombuffer(x, np.uint16 if len(x) * 4 == len(e) else np.uint32).astype(np.int64) for x, e in zip(cols["places"], cols["elements"])])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in cols["counts"]])
+        rest, counts, size = (np.concatenate([np.frombuffer(x, np.uint32) for x in cols[k]]).astype(np.int64) for k in ("rests", "counts", "sizes"))
         classes, back = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in cols["classes"]]), return_inverse=True)
-        sizes_of = np.zeros(len(classes), np.int64)
-        sizes_of[back] = np.concatenate([np.frombuffer(x, np.uint32) for x in cols["sizes"]])
-        owner = np.repeat(back, counts)
-        for keys, n in join_lists(element, owner, place, sizes_of[owner], sizes_of, threshold):
-            a, b = keys // len(classes), keys % len(classes)
-            yield pa.record_batch([pa.array(x) for x in (classes[a], classes[b], sizes_of[a], sizes_of[b], n)], ["a", "b", "size_a", "size_b", "hits"])
+        for keys in join_lists(unpack(b"".join(cols["elements"])), np.repeat(back, counts), rest, np.repeat(size, counts), len(classes), threshold):
+            yield pa.record_batch([pa.array(classes[keys // len(classes)]), pa.array(classes[keys % len(classes)])], ["a", "b"])
 
     return join
 
@@ -153,18 +163,15 @@ def near_duplicates(docs: DataFrame, ref: str, text: str, threshold: float = 0.8
     texts = docs.select(F.col(ref).alias("ref"), F.col(text).alias("text")).where("ref is not null and text is not null")
     classes, level = survey(texts, kind)
     entries = classes.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, int(entries * (1 - threshold) / ENTRIES) + 1)
-    index = texts.mapInArrow(_indexer(spark.sparkContext.broadcast(level), threshold, parts), "part int, elements binary, places binary, counts binary, classes binary, sizes binary")
-    hits = index.groupBy("part").applyInArrow(_joiner(threshold), "a long, b long, size_a long, size_b long, hits long")
-    # Common elements lie in both prefixes or after the end of one of them.
-    rest = F.greatest(*(F.floor(F.ceil(threshold * F.col(c) - 1e-9) - 1) for c in ("size_a", "size_b")))
-    need = F.ceil(threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9)
-    candidates = stage(hits.groupBy("a", "b", "size_a", "size_b").agg(F.sum("hits").alias("hits")).where(F.col("hits") + rest >= need).select("a", "b"))
+    parts = int(entries * (1 - threshold) / ENTRIES) + 1
+    index = texts.mapInArrow(_indexer(spark.sparkContext.broadcast(level), threshold, parts), "part long, elements binary, rests binary, counts binary, classes binary, sizes binary")
+    candidates = stage(index.groupBy("part").applyInArrow(_joiner(threshold), "a long, b long").distinct())
     shown = classes.groupBy("cls").agg(F.min("ref").alias("shown"))
     used = candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()
     shown = stage(shown.join(used, "cls", "left_semi"))
-    pairs = stage(candidates.join(shown.select(F.col("cls").alias("a"), F.col("shown").alias("ra")), "a").join(shown.select(F.col("cls").alias("b"), F.col("shown").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    exact = overlaps(pairs, texts, kind).withColumn("similarity", F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).where(F.col("similarity") >= threshold - 1e-12)
+    written = Stage(candidates.join(shown.select(F.col("cls").alias("a"), F.col("shown").alias("ra")), "a").join(shown.select(F.col("cls").alias("b"), F.col("shown").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")), n=F.count(F.lit(1)))
+    sets = stage(sets_of(texts.join(shown.select(F.col("shown").alias("ref")), "ref", "left_semi"), kind))
+    exact = overlaps(written.df, sets, kind, written.seen["n"]).withColumn("similarity", F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).where(F.col("similarity") >= threshold - 1e-12)
     found = (
         exact.join(shown.select(F.col("shown").alias("a"), F.col("cls").alias("x")), "a")
         .join(shown.select(F.col("shown").alias("b"), F.col("cls").alias("y")), "b")
@@ -178,5 +185,9 @@ def expand(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     a = classes.select(F.col("ref").alias("u"), F.col("cls").alias("cls_a"))
     b = classes.select(F.col("ref").alias("v"), F.col("cls").alias("cls_b"))
     across = pairs.select("cls_a", "cls_b").join(a, "cls_a").join(b, "cls_b").select("u", "v")
-    within = a.join(b, F.col("cls_a") == F.col("cls_b")).where("u < v").select("u", "v")
+    # Pairs inside a class: the class's rows are cut into runs by hash, each of which meets all rows.
+    runs = classes.groupBy("cls").agg(F.ceil(F.count("*") / RUN).alias("runs")).withColumnRenamed("cls", "cls_a")
+    one = a.join(runs, "cls_a").withColumn("run", F.pmod(F.xxhash64("u"), "runs"))
+    each = b.join(runs.withColumnRenamed("cls_a", "cls_b"), "cls_b").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)))
+    within = one.join(each.select("cls_b", "v", F.col("run").alias("run_b")), (F.col("cls_a") == F.col("cls_b")) & (F.col("run") == F.col("run_b"))).where("u < v").select("u", "v")
     return across.union(within).select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b"))

@@ -40,20 +40,26 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pending documents that repeat an earlier document, with the earliest such."""
+    """Pending documents that repeat an earlier document, with the earliest such; every batch is checked when it comes."""
     kb, pending, files = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("kb_documents", "pending_documents", "text_files"))
     last = F.lit(2**31 - 1)
-    accepted = history.History(0.6)
+    accepted = history.History(spark, 0.6)
     accepted.accept(
-        kb.select(F.col("id").alias("ref"), F.struct(F.lit(0).alias("kind"), F.coalesce("batch_no", last).alias("batch"), F.lit(0).alias("ordinal"), F.col("id").alias("id")).alias("ord"), "md5", F.concat(F.lit("kb:"), "id").alias("loc")),
+        kb.select(F.col("id").alias("ref"), F.struct(F.coalesce("batch_no", last).alias("batch"), F.col("id").alias("id")).alias("ord"), "md5", F.concat(F.lit("kb:"), "id").alias("loc")),
         kb.select(F.concat(F.lit("kb:"), "id").alias("loc"), F.col("content").alias("text")),
         probing=False,
     )
-    accepted.accept(
-        pending.select(F.col("doc_id").alias("ref"), F.struct(F.lit(1).alias("kind"), F.coalesce("batch_no", last).alias("batch"), F.coalesce("ordinal", last).alias("ordinal"), F.lit("").alias("id")).alias("ord"), "md5", F.concat(F.lit("file:"), "original_path").alias("loc")),
-        files.select(F.concat(F.lit("file:"), "file_path").alias("loc"), F.col("content").alias("text")),
-    )
-    return accepted.check().select(F.col("ref").alias("doc_id"), F.col("match").alias("match_id"))
+    docs = pending.select(F.coalesce("batch_no", last).alias("batch"), F.col("doc_id").alias("ref"), F.struct(F.coalesce("ordinal", last).alias("batch"), F.lit("").alias("id")).alias("ord"), "md5", F.concat(F.lit("file:"), "batch", F.lit(":"), "original_path").alias("loc"), "original_path")
+    found = None
+    for (number,) in docs.select("batch").distinct().sort("batch").collect():  # a row for each batch
+        batch = docs.where(F.col("batch") == number)
+        texts = files.join(batch.select("original_path", "loc").distinct(), F.col("file_path") == F.col("original_path")).select("loc", F.col("content").alias("text"))
+        accepted.accept(batch.select("ref", "ord", "md5", "loc"), texts)
+        matches = accepted.check()
+        found = matches if found is None else found.unionByName(matches)
+    if found is None:
+        found = spark.createDataFrame([], "ref string, match string")
+    return found.select(F.col("ref").alias("doc_id"), F.col("match").alias("match_id"))
 
 
 def _occurrences(spark: SparkSession, d: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Exact similarity of texts as sets of word shingles.
 
-Candidate pairs are grouped by pairs of blocks; a task loads each set of its two blocks once and
-counts overlaps through an inverted index of the block.  Sets are visited so that similar ones
-follow each other, and the counts of a set are derived from those of its predecessor by looking up
-only the elements in which the two differ.
+A shingle is a 48-bit hash of five tokens, a set the sorted hashes of a text.  Candidate pairs are
+grouped by pairs of blocks; a task loads each set of its two blocks once and counts overlaps through
+an inverted index of the block.  Sets are visited so that similar ones follow each other, and the
+counts of a set are derived from those of its predecessor by looking up only the elements in which
+the two differ.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,24 @@ SHINGLE, BLANK = 5, 20
 BLOCK, GROUP = 256, 2000
 #: Cells of the sketch of shingle frequencies, and the slices it is merged in.
 CELLS, SLICES = 1 << 22, 16
+#: Bits and bytes of a shingle's hash; rows of keys that may be broadcast.
+BITS, WORD, FEW = 48, 6, 500_000
+
+
+def few(keys: DataFrame, rows: int) -> DataFrame:
+    """Keys (two or three numbers or names a row) to be joined with a large table: broadcast if there are at most FEW, else shuffled."""
+    return F.broadcast(keys) if rows <= FEW else keys
+
+
+def pack(values: np.ndarray) -> bytes:
+    """48-bit numbers in six bytes each."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD]).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // WORD, 8), np.uint8)
+    out[:, :WORD] = np.frombuffer(data, np.uint8).reshape(-1, WORD)
+    return out.view("<u8").ravel()
 
 
 def set_hash(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -39,22 +58,31 @@ def set_hash(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def text_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token counts, and each text's distinct shingles with offsets."""
     tokens, offsets = tokenize(texts)
-    values, at = distinct_sorted(*shingles(tokens, offsets, SHINGLE))
+    values, at = shingles(tokens, offsets, SHINGLE)
+    values, at = distinct_sorted(values >> np.uint64(64 - BITS), at)
     return np.diff(offsets), values, at
 
 
-def _survey(batches):
-    """Rows of the texts' classes, then this task's sketch of shingle counts."""
-    counts = np.zeros(CELLS, np.uint32)
-    for batch, texts in text_batches(batches, "text"):
-        n, values, at = text_sets(texts)
-        keep = np.repeat(n >= BLANK, np.diff(at))
-        counts += np.bincount((values[keep] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-        rows = np.flatnonzero(n >= BLANK)
-        yield pa.record_batch([batch.column("ref").take(pa.array(rows)), pa.array(set_hash(values, at)[rows]), pa.array(np.diff(at)[rows]), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], ["ref", "cls", "size", "slice", "counts"])
-    if counts.any():
-        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
-        yield pa.record_batch([pa.nulls(SLICES, batch.column("ref").type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["ref", "cls", "size", "slice", "counts"])
+def leasts(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of every set the least of its elements' second hashes; 0 for an empty one."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = (np.minimum.reduceat(mix64(values + np.uint64(0x632BE5AB)), offsets[:-1][full]) >> np.uint64(1)).astype(np.int64)
+    return out
+
+
+class Sketch:
+    """Counts of shingles by cell, made in tasks and merged by slices; a fixed number of cells, whatever the data."""
+
+    def __init__(self) -> None:
+        self.counts = np.zeros(CELLS, np.uint32)
+
+    def add(self, values: np.ndarray) -> None:
+        self.counts += np.bincount((values & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+
+    def slices(self) -> list[bytes]:
+        return [zlib.compress(x.tobytes(), 1) for x in np.split(self.counts, SLICES)] if self.counts.any() else []
 
 
 def _merge_slices(batches):
@@ -68,30 +96,50 @@ def _merge_slices(batches):
         yield pa.record_batch([pa.array([k], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], ["slice", "levels"])
 
 
+def levels(slices: DataFrame) -> np.ndarray:
+    """Of each cell the number of its shingles in eighths of octaves, from tasks' slices (slice, counts)."""
+    merged = slices.repartition(SLICES, "slice").mapInArrow(_merge_slices, "slice int, levels binary").collect()  # CELLS bytes at most
+    level = np.zeros(CELLS, np.uint8)
+    for k, x in merged:
+        level[k * (CELLS // SLICES) : (k + 1) * (CELLS // SLICES)] = np.frombuffer(zlib.decompress(x), np.uint8)
+    return level
+
+
 def levels_of(values: np.ndarray, level: np.ndarray) -> np.ndarray:
     return level[(values & np.uint64(CELLS - 1)).astype(np.int64)]
 
 
+def _survey(batches):
+    """Rows of the texts' classes, then this task's sketch of shingle counts."""
+    sketch, kind = Sketch(), None
+    for batch, texts in text_batches(batches, "text"):
+        kind = batch.column("ref").type
+        n, values, at = text_sets(texts)
+        sketch.add(values[np.repeat(n >= BLANK, np.diff(at))])
+        rows = np.flatnonzero(n >= BLANK)
+        yield pa.record_batch([batch.column("ref").take(pa.array(rows)), pa.array(set_hash(values, at)[rows]), pa.array(np.diff(at)[rows]), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], ["ref", "cls", "size", "slice", "counts"])
+    if parts := sketch.slices():
+        yield pa.record_batch([pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["ref", "cls", "size", "slice", "counts"])
+
+
 def survey(texts: DataFrame, ref_type: str) -> tuple[DataFrame, np.ndarray]:
-    """Of all texts (ref, text): a written table (ref, cls, size) of those not blank, and the sketch of shingle frequencies.
+    """Of all texts (ref, text): a written table (ref, cls, size) of those not blank, and the levels of shingle frequencies.
 
-    cls is a hash of the set of shingles.  The sketch has a fixed number of cells, each with the
-    number of sets that hold a shingle of the cell, in eighths of octaves.
+    cls is a hash of the set of shingles.
     """
     rows = stage(texts.mapInArrow(_survey, f"ref {ref_type}, cls long, size long, slice int, counts binary"))
-    merged = rows.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_merge_slices, "slice int, levels binary").collect()  # CELLS bytes at most
-    level = np.zeros(CELLS, np.uint8)
-    for k, x in merged:
-        level[k * (CELLS // SLICES) : (k + 1) * (CELLS // SLICES)] = np.frombuffer(zlib.decompress(x), np.uint8)
-    return rows.where("ref is not null").select("ref", "cls", "size"), level
+    return rows.where("ref is not null").select("ref", "cls", "size"), levels(rows.where("slice is not null").select("slice", "counts"))
 
 
 def _sets(batches):
     for batch, texts in text_batches(batches, "text"):
         _, values, at = text_sets(texts)
-        sets = [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        least = [int(mix64(s).min() >> np.uint64(1)) if len(s) else 0 for s in sets]
-        yield pa.record_batch([batch.column("ref"), pa.array(least, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["ref", "least", "elements"])
+        yield pa.record_batch([batch.column("ref"), pa.array(leasts(values, at)), pa.array([pack(values[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], ["ref", "least", "elements"])
+
+
+def sets_of(texts: DataFrame, ref_type: str) -> DataFrame:
+    """(ref, least, elements) of texts (ref, text): the set, and the least of its elements' second hashes."""
+    return texts.select("ref", "text").mapInArrow(_sets, f"ref {ref_type}, least long, elements binary")
 
 
 class BlockIndex:
@@ -125,77 +173,46 @@ class BlockIndex:
         return self.counts
 
 
-def _verify_block(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    of = {r: np.frombuffer(e, np.uint64) for r, e in zip(sets["ref"], sets["elements"])}
-    pairs = pairs[pairs["a"].isin(of) & pairs["b"].isin(of)].reset_index(drop=True)
-    out = pairs[["a", "b"]].assign(common=0, size_a=0, size_b=0)
-    if not len(pairs):
-        return out
-    least = dict(zip(sets["ref"], sets["least"]))
-    place, right = pd.factorize(pairs["b"])
-    index = BlockIndex([of[r] for r in right])
-    common = np.zeros(len(pairs), np.int64)
-    groups = pairs.groupby("a", sort=False).indices
-    for a in sorted(groups, key=lambda r: (least[r], len(of[r]), r)):  # near-equal sets mostly share their least hash
-        rows = groups[a]
-        common[rows] = index.overlaps(of[a])[place[rows]]
-    sizes = {r: len(e) for r, e in of.items()}
-    return out.assign(common=common, size_a=pairs["a"].map(sizes), size_b=pairs["b"].map(sizes))
-
-
-def overlaps(self, query: np.ndarray) -> np.ndarray:
-        """Common elements of query, sorted and distinct, with every set of the index."""
-        if self.query is not None:
-            gone = np.setdiff1d(self.query, query, assume_unique=True)
-            come = np.setdiff1d(query, self.query, assume_unique=True)
-            if len(gone) + len(come) < len(query):
-                self.counts = self.counts - self._count(gone) + self._count(come)
-                self.query = query
-                return self.counts
-        self.query, self.counts = query, self._count(query)
-        return self.counts
-
-
-def _verify_block(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    out = {"a": [], "b": [], "common": [], "size_a": [], "size_b": []}
-    if len(pairs) and len(sets):
-        of = {r: np.frombuffer(e, np.uint64) for r, e in zip(sets["ref"], sets["elements"])}
-        least = dict(zip(sets["ref"], sets["least"]))
-        right = sorted({r for r in pairs["b"] if r in of})
-        place = {r: i for i, r in enumerate(right)}
-        index = BlockIndex([of[r] for r in right])
-        partners: dict = {}
-        for a, b in zip(pairs["a"], pairs["b"]):
-            if a in of and b in place:
-                partners.setdefault(a, []).append(b)
-        for a in sorted(partners, key=lambda r: (least[r], len(of[r]), r)):  # near-equal sets mostly share their least hash
-            counts = index.overlaps(of[a])
-            for b in partners[a]:
-                for k, v in zip(out, (a, b, int(counts[place[b]]), len(of[a]), len(of[b]))):
-                    out[k].append(v)
-    return pd.DataFrame(out)
-
-
-def overlaps(pairs: DataFrame, texts: DataFrame, ref_type: str) -> DataFrame:
+def _verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    ref = sets["ref"].combine_chunks()
+    a, b = pc.index_in(pairs["a"], value_set=ref), pc.index_in(pairs["b"], value_set=ref)
+    known = pc.and_(a.is_valid(), b.is_valid())
+    pairs, a, b = pairs.filter(known), a.filter(known).to_numpy(), b.filter(known).to_numpy()
+    of = [unpack(x) for x in sets["elements"].to_pylist()]
+    size = np.array([len(s) for s in of], np.int64)
+    common = np.zeros(len(a), np.int64)
+    if len(a):
+        right, place = np.unique(b, return_inverse=True)
+        index = BlockIndex([of[i] for i in right.tolist()])
+        # Near-equal sets mostly share their least hash, so that they follow each other.
+        order = np.lexsort((a, size[a], sets["least"].to_numpy()[a]))
+        begins = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]]))
+        for rows in np.split(order, begins[1:]):
+            common[rows] = index.overlaps(of[a[rows[0]]])[place[rows]]
+    return pa.table({"a": pairs["a"], "b": pairs["b"], "common": common, "size_a": size[a], "size_b": size[b]})
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, ref_type: str, count: int) -> DataFrame:
     """Exact overlaps of candidate pairs.
 
-    pairs (a, b), a written table, refer to texts (ref, text), ref unique; the result has a, b,
-    common, size_a and size_b, in shingles.  Pairs whose ref has no text are left out.
+    pairs (a, b), a written table of count rows, refer to sets (ref, least, elements), a written
+    table with unique ref; the result has a, b, common, size_a and size_b, in shingles.  Pairs whose
+    ref has no set are left out.
     """
-    cells = max(1, pairs.count() // GROUP)
-    refs = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).distinct()
-    sets = stage(texts.select("ref", "text").join(refs, "ref", "left_semi").mapInArrow(_sets, f"ref {ref_type}, least long, elements binary"))
-    # Similar sets mostly have the same least hash; a block is some of those, a large group is spread over several blocks.
-    groups = sets.groupBy("least").agg(F.count("*").alias("n"))
-    block = F.when(F.col("n") <= BLOCK, F.xxhash64("least")).otherwise(F.xxhash64("least", F.pmod(F.xxhash64("ref"), F.ceil(F.col("n") / BLOCK))))
-    blocks = stage(sets.select("ref", "least").join(groups, "least").select("ref", block.alias("block")))
-    placed = (
-        pairs.select("a", "b")
-        .join(blocks.select(F.col("ref").alias("a"), F.col("block").alias("x")), "a")
-        .join(blocks.select(F.col("ref").alias("b"), F.col("block").alias("y")), "b")
-        .select("a", "b", F.pmod(F.xxhash64("x", "y"), F.lit(cells)).alias("cell"))
-    )
-    placed = stage(placed)
-    needed = placed.select("cell", F.col("a").alias("ref")).union(placed.select("cell", "b")).distinct()
-    shipped = needed.join(sets, "ref").select(F.col("cell").alias("at"), "ref", "least", "elements")
-    return placed.groupBy("cell").cogroup(shipped.groupBy("at")).applyInPandas(_verify_block, f"a {ref_type}, b {ref_type}, common long, size_a long, size_b long")
+    cells = max(1, count // GROUP)
+    if cells == 1:
+        placed, shipped = pairs.select("a", "b", F.lit(0).cast("long").alias("cell")), sets.select(F.lit(0).cast("long").alias("at"), "ref", "least", "elements")
+    else:
+        # Similar sets mostly have the same least hash; a block is some of those, a large group is spread over several blocks.
+        groups = sets.groupBy("least").agg(F.count("*").alias("n"))
+        block = F.when(F.col("n") <= BLOCK, F.xxhash64("least")).otherwise(F.xxhash64("least", F.pmod(F.xxhash64("ref"), F.ceil(F.col("n") / BLOCK))))
+        blocks = stage(sets.select("ref", "least").join(groups, "least").select("ref", block.alias("block")))
+        placed = stage(
+            pairs.select("a", "b")
+            .join(blocks.select(F.col("ref").alias("a"), F.col("block").alias("x")), "a")
+            .join(blocks.select(F.col("ref").alias("b"), F.col("block").alias("y")), "b")
+            .select("a", "b", F.pmod(F.xxhash64("x", "y"), F.lit(cells)).alias("cell"))
+        )
+        needed = placed.select("cell", F.col("a").alias("ref")).union(placed.select("cell", "b")).distinct()
+        shipped = needed.join(sets, "ref").select(F.col("cell").alias("at"), "ref", "least", "elements")
+    return placed.groupBy("cell").cogroup(shipped.groupBy("at")).applyInArrow(_verify, f"a {ref_type}, b {ref_type}, common long, size_a long, size_b long")
