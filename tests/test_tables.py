@@ -6,10 +6,10 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tomelattice import schema
+from tomelattice import schema, session
 from tomelattice.functions.text import SIMILAR_AT
 from tomelattice.model.provider import edit_similarity
-from tomelattice.operators import dedupe, prompts, ranking
+from tomelattice.operators import dedupe, hierarchy, prompts, ranking
 from tomelattice.operators.hierarchy import Hierarchy
 
 
@@ -129,7 +129,10 @@ def plain_hierarchy(rows):
     return ids, place, below
 
 
-def test_hierarchy_against_plain(spark):
+@pytest.mark.parametrize("kernel", [1_000_000, 0])
+def test_hierarchy_against_plain(spark, monkeypatch, kernel):
+    """The same comes out of one task and of rounds over tables."""
+    monkeypatch.setattr(hierarchy, "KERNEL", kernel)
     rows = []
     for seed, n in enumerate([1, 12, 40, 40, 60, 80]):  # graphs apart from each other
         rng = random.Random(seed)
@@ -139,8 +142,13 @@ def test_hierarchy_against_plain(spark):
     rows += [("x", ["y"]), ("y", ["x"]), ("self", ["self"]), ("4n03", ["x"]), ("u", ["v"]), ("v", ["w"]), ("w", ["u", "t"]), ("t", []), (None, ["4n00"])]
     ids, place, below = plain_hierarchy(rows)
     h = Hierarchy(spark.createDataFrame([(i, c, 1) for i, c in rows], "node_id string, children_ids array<string>, root string"))
-    table = h.table().collect()
-    assert {(r.node_id, r.root_id, r.node_depth, r.on_cycle) for r in table} == {(i, place.get(i, (0, ""))[1], place.get(i, (-1,))[0], int(i in below[i])) for i in ids} and len(table) == len(ids)
+    want = {(i, place.get(i, (0, ""))[1], place.get(i, (-1,))[0], int(i in below[i])) for i in ids}
+    got = [tuple(r) for r in h.found().collect()]
+    assert set(got) == want and len(got) == len(want)
+    if not kernel:
+        return
+    table = h.table(paths=True).collect()
+    assert {(r.node_id, r.root_id, r.node_depth, r.on_cycle) for r in table} == want and len(table) == len(ids)
     assert {(r.node, r.descendant) for r in h.descendants().collect()} == {(i, x) for i in ids for x in below[i]}
     # Ranges: a node's are inside its parent's and apart from its siblings'.
     at = {r.node_id: r for r in table if r.pre is not None}
@@ -150,22 +158,45 @@ def test_hierarchy_against_plain(spark):
             assert p.pre < r.pre and r.pre + r.size <= p.pre + p.size
     for root in {r.root_id for r in at.values()}:
         assert sorted(r.pre for r in at.values() if r.root_id == root) == list(range(at[root].size))
-    for r in h.paths().collect():
-        assert len(r.path) == place[r.node][0] + 1 and r.path[0] == place[r.node][1] and r.path[-1] == r.node
-
+    for r in at.values():
+        assert len(r.path) == place[r.node_id][0] + 1 and r.path[0] == place[r.node_id][1] and r.path[-1] == r.node_id
 
-def test_cycles_by_either_way(spark, monkeypatch):
-    from tomelattice.operators import hierarchy
 
+def test_components(spark):
     links = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("f", "g"), ("x", "a"), ("s", "s"), ("g", "h"), ("h", "g2"), ("g2", "g"), ("g", "y")]
-    df = spark.createDataFrame(links, "parent string, child string")
-    want = {"a", "b", "c", "d", "e", "s", "g", "h", "g2"}
-    assert {r.node for r in hierarchy.on_cycle(df).collect()} == want
-    monkeypatch.setattr(hierarchy, "PAIRS", 0)
-    assert {r.node for r in hierarchy.on_cycle(df).collect()} == want
-
-
-def test_deep_chain_and_empty(spark):
-    chain = spark.range(300).selectExpr("lpad(cast(id as string), 4, '0') as node_id", "array(lpad(cast(id + 1 as string), 4, '0')) as children_ids")
-    assert {r.node_depth for r in Hierarchy(chain).table().collect()} == set(range(300))
-    assert Hierarchy(chain.limit(0)).table().count() == 0
+    got = {r.node: r.ring for r in hierarchy.components(spark.createDataFrame(links, "parent string, child string")).collect()}
+    groups = {frozenset(k for k, v in got.items() if v == ring) for ring in got.values()}
+    assert groups == {frozenset("abc"), frozenset("de"), frozenset("s"), frozenset(["g", "h", "g2"])}
+
+
+def test_ranges_and_points(spark):
+    rng = random.Random(1)
+    ranges = [(i, "r", p := rng.randrange(200), rng.randrange(1, 201 - p)) for i in range(60)]
+    points = [("r", rng.randrange(200), i) for i in range(80)]
+    got = hierarchy.within(spark.createDataFrame(ranges, "id int, root string, pre long, size long"), spark.createDataFrame(points, "root string, at long, p int"))
+    pairs = [(r.id, r.p) for r in got.collect()]
+    assert sorted(pairs) == sorted((i, q) for i, _, pre, size in ranges for _, at, q in points if pre <= at < pre + size)
+
+
+def test_long_rings_and_chains(spark, monkeypatch):
+    """A ring and a chain of 10 000 nodes each, and a ring that a root leads to, take few written stages."""
+    written = []
+    begin = session.Stage.__init__
+    monkeypatch.setattr(session.Stage, "__init__", lambda self, *a, **k: (written.append(1), begin(self, *a, **k))[1])
+    n = 10_000
+    name = "concat('{0}', lpad(cast({1} as string), 5, '0'))"
+    ring = spark.range(n).selectExpr(f"{name.format('r', 'id')} as node_id", f"array({name.format('r', f'(id + 1) % {n}')}) as children_ids")
+    chain = spark.range(n).selectExpr(f"{name.format('c', 'id')} as node_id", f"array({name.format('c', 'id + 1')}) as children_ids")
+    led = spark.range(500).selectExpr(f"{name.format('l', 'id')} as node_id", f"array({name.format('l', '(id + 1) % 500')}) as children_ids")
+    way = spark.createDataFrame([("top", ["l00003"])], "node_id string, children_ids array<string>")
+    rows = Hierarchy(ring.union(chain).union(led).union(way)).found().collect()
+    assert len(written) <= 60
+    by = {r.node_id: r for r in rows}
+    assert len(by) == 2 * n + 501 and all((r.on_cycle, r.root_id) == (1, "") for r in rows if r.node_id[0] == "r")
+    assert all(by[f"c{i:05d}"].node_depth == i and not by[f"c{i:05d}"].on_cycle for i in range(n))
+    assert all(by[f"l{i:05d}"].node_depth == 1 + (i - 3) % 500 and by[f"l{i:05d}"].on_cycle for i in range(500)) and not by["top"].on_cycle
+
+
+def test_empty_hierarchy(spark):
+    empty = Hierarchy(spark.createDataFrame([], "node_id string, children_ids array<string>"))
+    assert empty.table().count() == 0 and empty.descendants().count() == 0

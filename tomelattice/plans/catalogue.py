@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tomelattice.plans import documents, search, trees
 
-_ALL: dict[Callable, str | None] = documents.QUERIES | search.QUERIES | dict.fromkeys(trees.QUERIES)
+_ALL: dict[Callable, str | None] = documents.QUERIES | search.QUERIES | trees.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
