@@ -15,12 +15,12 @@ from tomelattice.functions.text import is_blank, leaf_name, normalized
 from tomelattice.model.calls import asked, prompt
 from tomelattice.model.provider import Provider
 from tomelattice.operators.ranking import part_of, ranked
-from tomelattice.session import stage
+from tomelattice.session import Stage, stage
 
 #: Levels of categories at most, characters of a summary in a prompt and in a name, names.
 DEEPEST, PROMPT_SUMMARY, NAME_SUMMARY = 8, 200, 20
 CATEGORY, DOCUMENT, ROOT = "类别", "文档", "Root"
-#: Documents that one clustering prompt may hold; larger groups are first cut into three.
+#: Summaries that one clustering prompt holds.
 CLUSTERED = 200
 #: Documents whose summaries one prompt holds that describes a category to the model.
 DESCRIBING = 100
@@ -63,36 +63,69 @@ def document_nodes(docs: DataFrame, chapters: DataFrame) -> tuple[DataFrame, Dat
     return nodes, links, chunks
 
 
+def _clustered(items: DataFrame, provider: Provider) -> DataFrame:
+    """Items (group, item, pos, text) in order, in blocks of CLUSTERED, with `blocks` of the group, `block`, and `cluster` and `cluster_name` within the block."""
+    placed = ranked(items, ["group"], ["pos"], "_at", "_n").withColumn("block", F.floor((F.col("_at") - 1) / CLUSTERED)).withColumn("blocks", F.ceil(F.col("_n") / CLUSTERED))
+    placed = placed.withColumn("_r", F.col("_at") - F.col("block") * CLUSTERED).withColumn("_n", F.least(F.lit(CLUSTERED), F.col("_n") - F.col("block") * CLUSTERED))
+    placed = stage(placed.select("group", "item", "pos", "text", "blocks", "block", "_r", "_n"))
+    line = F.concat(F.lit("["), (F.col("_r") - 1).cast("string"), F.lit("] "), F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), 1, PROMPT_SUMMARY))
+    asking = placed.select("group", "block", F.struct("_r", line.alias("line")).alias("x")).groupBy("group", "block").agg(F.sort_array(F.collect_list("x")).alias("x"))  # CLUSTERED rows at most
+    answers = asked(asking.select("group", "block", prompt("CLUSTER_DOCUMENTS", F.array_join(F.col("x.line"), "\n")).alias("prompt")), "CLUSTER_DOCUMENTS", provider)
+    schema = "clusters array<struct<name: string, chunkIndices: array<int>>>"
+    named = answers.where("answer.success").select("group", "block", F.posexplode(parsed("answer.content", schema)["clusters"]).alias("cluster", "c")).where("c.chunkIndices is not null")
+    picked = named.select("group", "block", "cluster", F.trim(F.col("c.name")).alias("name"), F.explode("c.chunkIndices").alias("i")).where("i is not null")
+    first = picked.groupBy("group", "block", "i").agg(F.min_by(F.struct("cluster", "name"), "cluster").alias("by")).select("group", "block", (F.col("i") + 1).cast("long").alias("_r"), "by.cluster", "by.name")
+    joined = stage(placed.join(first, ["group", "block", "_r"], "left"))
+    usable = joined.where("cluster is not null").select("group", "block", F.lit(True).alias("usable")).distinct()
+    own_name = F.when(is_blank("text"), DOCUMENT).otherwise(F.substring("text", 1, NAME_SUMMARY))
+    chosen = F.struct(F.coalesce(F.col("cluster").cast("long"), F.lit(1 << 20) + F.col("_r")).alias("cluster"), F.when(F.col("cluster").isNull(), own_name).when(is_blank("name"), CATEGORY).otherwise(F.col("name")).alias("name"))
+    either = joined.join(usable, ["group", "block"], "left").withColumn("x", F.when(F.col("usable"), chosen).otherwise(_thirds()))
+    return either.select("group", "item", "pos", "text", "blocks", "block", F.col("x.cluster").alias("cluster"), F.col("x.name").alias("cluster_name"))
+
+
+def _thirds() -> Column:
+    """Cluster and name by place _r of _n: three contiguous near-equal parts, or single documents if there are three at most."""
+    part = part_of(F.col("_r"), F.col("_n"), 3)
+    few = F.col("_n") <= 3
+    return F.struct(F.when(few, F.col("_r") - 1).otherwise(part - 1).cast("long").alias("cluster"), F.when(few, F.concat(F.lit(f"{DOCUMENT} "), F.col("_r").cast("string"))).otherwise(F.concat(F.lit(f"{CATEGORY} "), part.cast("string"))).alias("name"))
+
+
 def clusters_of(groups: DataFrame, provider: Provider | None) -> DataFrame:
     """Documents (group, doc_id, ordinal, summary) with `cluster`, a number from 0, and its name.
 
-    A model groups the documents of a group of at most CLUSTERED; the first group that names a
-    document gets it, numbers out of range don't count, and a document that none names is its own.
-    Without a usable answer, and in larger groups, there are three contiguous near-equal parts, or
-    single documents if there are three at most.
+    A model groups the documents of a group in blocks of CLUSTERED, then the blocks' clusters, by
+    their names and first summaries, in blocks again, until one block holds all of a group.  In a
+    block the first cluster that names a document gets it, numbers out of range don't count, and
+    what none names is its own cluster.  A block without a usable answer is cut into three
+    contiguous near-equal parts, or single documents if there are three at most; so is a group
+    without a model, and one whose clusters are no fewer than half of what was to be clustered, for
+    that would not come to an end.
     """
-    placed = stage(ranked(groups, ["group"], ["ordinal"], "_r", "_n"))
-    thirds = F.when(F.col("_n") <= 3, F.col("_r") - 1).otherwise(F.col("_part") - 1)
-    default_name = F.when(F.col("_n") <= 3, F.concat(F.lit(f"{DOCUMENT} "), F.col("_r").cast("string"))).otherwise(F.concat(F.lit(f"{CATEGORY} "), F.col("_part").cast("string")))
-    plain = placed.withColumn("_part", part_of(F.col("_r"), F.col("_n"), 3)).withColumn("cluster", thirds.cast("long")).withColumn("cluster_name", default_name).drop("_part")
-    keep = ["group", "doc_id", "ordinal", "cluster", "cluster_name"]
     if provider is None:
-        return plain.select(*keep)
-    small = placed.where(F.col("_n") <= CLUSTERED)
-    line = F.concat(F.lit("["), (F.col("_r") - 1).cast("string"), F.lit("] "), F.substring(F.regexp_replace(F.coalesce("summary", F.lit("")), r"\s+", " "), 1, PROMPT_SUMMARY))
-    asking = small.select("group", F.struct("_r", line.alias("line")).alias("x")).groupBy("group").agg(F.sort_array(F.collect_list("x")).alias("x"))  # CLUSTERED rows at most
-    answers = asked(asking.select("group", prompt("CLUSTER_DOCUMENTS", F.array_join(F.col("x.line"), "\n")).alias("prompt")), "CLUSTER_DOCUMENTS", provider)
-    schema = "clusters array<struct<name: string, chunkIndices: array<int>>>"
-    named = answers.where("answer.success").select("group", F.posexplode(parsed("answer.content", schema)["clusters"]).alias("cluster", "c")).where("c.chunkIndices is not null")
-    picked = named.select("group", "cluster", F.trim(F.col("c.name")).alias("name"), F.explode("c.chunkIndices").alias("i")).where("i is not null")
-    first = picked.groupBy("group", "i").agg(F.min_by(F.struct("cluster", "name"), "cluster").alias("by")).select("group", (F.col("i") + 1).cast("long").alias("_r"), "by.cluster", "by.name")
-    joined = stage(small.join(first, ["group", "_r"], "left"))
-    usable = joined.where("cluster is not null").select("group").distinct()
-    own_name = F.when(is_blank("summary"), DOCUMENT).otherwise(F.substring("summary", 1, NAME_SUMMARY))
-    chosen = joined.join(usable, "group", "left_semi").select(
-        "group", "doc_id", "ordinal", F.coalesce(F.col("cluster").cast("long"), F.lit(1 << 20) + F.col("_r")).alias("cluster"), F.when(F.col("cluster").isNull(), own_name).when(is_blank("name"), CATEGORY).otherwise(F.col("name")).alias("cluster_name")
-    )
-    return plain.join(usable, "group", "left_anti").select(*keep).unionByName(chosen)
+        placed = ranked(groups, ["group"], ["ordinal"], "_r", "_n").withColumn("x", _thirds())
+        return placed.select("group", "doc_id", "ordinal", F.col("x.cluster").alias("cluster"), F.col("x.name").alias("cluster_name"))
+    of = groups.select("group", "doc_id", "ordinal", F.col("doc_id").alias("item"))
+    items = groups.select("group", F.col("doc_id").alias("item"), F.col("ordinal").cast("long").alias("pos"), F.col("summary").alias("text"))
+    done = None
+    while True:
+        t = _clustered(items, provider)
+        key = F.concat_ws("-", F.col("block").cast("string"), F.col("cluster").cast("string"))
+        t = Stage(t.withColumn("key", key), open=F.count(F.when(F.col("blocks") > 1, 1)))
+        of = stage(of.join(t.df.select("group", "item", "blocks", "key", "cluster", "cluster_name"), ["group", "item"]))
+        ended = of.where("blocks = 1").select("group", "doc_id", "ordinal", "cluster", "cluster_name")
+        done = ended if done is None else done.unionByName(ended)
+        if not t.seen["open"]:
+            return done
+        more = t.df.where("blocks > 1").groupBy("group", "key").agg(F.min("pos").alias("pos"), F.min_by("cluster_name", "pos").alias("name"), F.min_by("text", "pos").alias("first"), F.count("*").alias("n"))
+        sizes = more.groupBy("group").agg((F.count("*") * 2 <= F.sum("n")).alias("fewer"))
+        more = stage(more.join(sizes, "group"))
+        items = more.where("fewer").select("group", F.col("key").alias("item"), "pos", F.concat_ws(": ", "name", "first").alias("text"))
+        stuck = of.where("blocks > 1").join(more.where("not fewer").select("group").distinct(), "group", "left_semi")
+        cut = ranked(stuck.select("group", "doc_id", "ordinal"), ["group"], ["ordinal"], "_r", "_n").withColumn("x", _thirds())
+        done = done.unionByName(stage(cut.select("group", "doc_id", "ordinal", F.col("x.cluster").alias("cluster"), F.col("x.name").alias("cluster_name"))))
+        of = of.where("blocks > 1").join(more.where("fewer").select("group").distinct(), "group", "left_semi").select("group", "doc_id", "ordinal", F.col("key").alias("item"))
+        if items.isEmpty():
+            return done
 
 
 def described(groups: DataFrame, docs: DataFrame, provider: Provider | None) -> DataFrame:
