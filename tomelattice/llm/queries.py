@@ -141,7 +141,7 @@ WITH rows AS (
 ), best AS (SELECT src, keyword, record, max(n) AS n FROM clean GROUP BY ALL),
 counted AS (SELECT src, keyword, count(record) AS records, cast(coalesce(sum(n) FILTER (record IS NOT NULL), 0) AS BIGINT) AS total FROM best GROUP BY ALL),
 sizes AS (SELECT src, count(DISTINCT record) AS size FROM clean GROUP BY ALL)
-SELECT src, keyword, records, total, CASE WHEN records > 0.05 * size THEN 'common' WHEN records <= 2 AND total <= 5 THEN 'rare' END AS mark
+SELECT src, keyword, records, total, CASE WHEN records > 0.05 * size THEN 'common' WHEN records BETWEEN 1 AND 2 AND total <= 5 THEN 'rare' END AS mark
 FROM counted JOIN sizes USING (src)
 """
 

@@ -21,6 +21,10 @@ from tomelattice.session import stage
 
 #: Records numbered in a block, about, and the most that its 16-bit numbers allow; ids above which a bitmap is smaller.
 BLOCK, DENSE = 1 << 15, 4096
+#: Numbers of a block.
+MOST = 1 << 16
+#: Rows of which a task builds containers at once.
+GATHERED = 1 << 18
 #: Terms in more than this share of records are common; terms in at most so many with at most such a total are rare.
 COMMON, RARE_RECORDS, RARE_TOTAL = 0.05, 2, 5
 
@@ -57,11 +61,21 @@ def unite(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _KEYS = ["src", "term", "block"]
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to GATHERED rows, so that a term's records of many batches share a container."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _gathered(batches):
         rows = batch.to_pandas()
-        if not len(rows):
-            continue
         group = rows.groupby(_KEYS, sort=False).ngroup().to_numpy()
         key = group.astype(np.int64) << 16 | rows["local"].to_numpy()
         key, counts = unite(key, rows["n"].to_numpy())
@@ -113,7 +127,9 @@ def vertical(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     records = rows.select("src", "record").distinct()
     blocks = records.groupBy("src").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = records.join(blocks, "src").withColumn("block", F.pmod(F.xxhash64("record"), F.col("blocks")))
-    numbers = stage(placed.select("src", "record", "block", (F.row_number().over(Window.partitionBy("src", "block").orderBy("record")) - 1).cast("long").alias("local")))
+    at = placed.withColumn("at", (F.row_number().over(Window.partitionBy("src", "block").orderBy("record")) - 1).cast("long"))
+    # Should hashing ever fill a block beyond its 16-bit numbers, the rest forms further blocks.
+    numbers = stage(at.select("src", "record", (F.col("block") + F.col("blocks") * F.floor(F.col("at") / MOST)).alias("block"), (F.col("at") % MOST).alias("local")))
     numbered = rows.join(numbers, ["src", "record"]).select("src", "term", "block", "local", F.col("n").cast("long").alias("n"))
     kinds = "src string, term string, block long, records binary, counters binary"
     merged = numbered.mapInArrow(_build, kinds).repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_merge, f"{kinds}, cardinality long, total long")
@@ -135,6 +151,6 @@ def frequencies(rows: DataFrame) -> DataFrame:
     sizes = numbers.groupBy("src").agg(F.count("*").alias("size"))
     every = clean.select("src", "term").distinct()
     out = every.join(counted, ["src", "term"], "left").join(sizes, "src", "left").fillna(0, ["records", "total"])
-    rare = (F.col("records") <= RARE_RECORDS) & (F.col("total") <= RARE_TOTAL)
+    rare = (F.col("records") > 0) & (F.col("records") <= RARE_RECORDS) & (F.col("total") <= RARE_TOTAL)
     mark = F.when(F.col("records") > COMMON * F.col("size"), "common").when(rare, "rare")
     return out.select("src", "term", "records", "total", F.coalesce(F.col("records") / F.col("size"), F.lit(0.0)).alias("share"), mark.alias("mark"))
