@@ -14,6 +14,7 @@ from tomelattice import schema
 from tomelattice.errors import DocumentError, NavigationError, StorageError
 from tomelattice.functions.text import NAME_LENGTH, NAME_PATTERN, is_blank, normalized, safe_name
 from tomelattice.hooks import Hooks
+from tomelattice.model.cache import ResponseCache, StoredProvider
 from tomelattice.model.provider import OfflineProvider, Provider
 from tomelattice.operators import tree as trees
 from tomelattice.operators.comprehend import comprehended, rolled_up
@@ -23,7 +24,7 @@ from tomelattice.operators.ranking import ranked
 from tomelattice.operators.sections import byte_range, chunks
 from tomelattice.session import ship, stage
 from tomelattice.sources.files import read_documents
-from tomelattice.store import Store, _Files
+from tomelattice.store import Store, Files
 
 MARKER = "knowledge-base"
 
@@ -36,6 +37,7 @@ class Settings:
     max_steps: int = 20
     prompt_chars: int = 4000
     threshold: int = 100_000
+    cached: bool = True
 
     def __post_init__(self) -> None:
         if not 1 <= self.concurrent <= 100:
@@ -52,6 +54,8 @@ _CHUNKS = "chunk_id string, document_id string, document_title string, section_i
 _NODES = "node_id string, name string, description string, type string, key_entities array<string>, keywords array<string>, example_questions array<string>"
 _LINKS = "parent string, child string, pos long"
 _HELD = "node_id string, chunk_id string, pos long"
+#: Tables that grow by newer rows of the same keys.
+_KEYED = {"nodes": ["node_id"], "links": ["parent", "child"], "held": ["node_id", "chunk_id"], "postings": ["keyword", "node_id"]}
 
 
 class KnowledgeBase:
@@ -60,13 +64,17 @@ class KnowledgeBase:
     def __init__(self, spark: SparkSession, root: str, provider: Provider | None = None, settings: Settings | None = None, hooks: Hooks | None = None) -> None:
         ship(spark)
         self.spark, self.store = spark, Store(spark, root)
-        self.provider, self.settings, self.hooks = provider or OfflineProvider(), settings or Settings(), hooks or Hooks()
+        self.settings, self.hooks = settings or Settings(), hooks or Hooks()
+        self.cache = ResponseCache(spark, f"{root}/llm-cache") if self.settings.cached else None
+        self.provider = StoredProvider(provider or OfflineProvider(), self.cache)
         self._writer = ThreadPoolExecutor(1)
 
     # Reading
 
     def table(self, name: str) -> DataFrame:
         kinds = {"documents": _DOCUMENTS, "texts": _TEXTS, "chunks": _CHUNKS, "nodes": _NODES, "links": _LINKS, "held": _HELD, "postings": schema.POSTINGS, "definitions": schema.DEFINITIONS}
+        if name in _KEYED:
+            return self.store.latest(name, kinds[name], _KEYED[name])
         return self.store.table(name, kinds[name])
 
     def tree(self) -> trees.Tree:
@@ -100,6 +108,13 @@ class KnowledgeBase:
         return self._writer.submit(self._ingest, docs, mode, policy, True).result()
 
     def _ingest(self, docs: DataFrame, mode: str, policy: str, fresh: bool) -> DataFrame:
+        try:
+            return self._taken_in(docs, mode, policy, fresh)
+        except Exception as e:
+            self.hooks.fire("FAILED", error=e, step="ingest")
+            raise
+
+    def _taken_in(self, docs: DataFrame, mode: str, policy: str, fresh: bool) -> DataFrame:
         if mode not in schema.SOURCE_MODES:
             raise ValueError(mode)
         begun = time.monotonic()
@@ -117,15 +132,23 @@ class KnowledgeBase:
             marked = first_of_copies(good, "md5", ["ordinal"]).join(before.select("md5", F.lit(True).alias("known")).distinct(), "md5", "left")
             marked = stage(marked.withColumn("copy", F.col("copy") | F.coalesce("known", F.lit(False))))
             taken, copies = marked.where("not copy"), marked.where("copy")
+            if skipped := copies.count():
+                self.hooks.fire("DOCUMENT_SKIPPED", documents=skipped)
         base = 0 if fresh else (before.agg(F.max("ordinal")).first()[0] or 0)
         doc_id = F.concat(F.lit("d-"), F.substring(F.sha2(F.concat_ws("\n", "id", "md5"), 256), 1, 16), F.lit("_"), safe_name("title"))
         taken = stage(taken.select(doc_id.alias("doc_id"), "id", "title", "content", "file_path", "md5", (F.col("ordinal") + base).cast("long").alias("ordinal")))
         cut = stage(chunks(taken, "doc_id", "title", "content", policy, self.settings.threshold, self.settings.prompt_chars))
         self.hooks.fire("DOCUMENT_CHUNKED")
         texts = cut.join(taken.select(F.col("doc_id").alias("document_id"), "content"), "document_id").select("chunk_id", byte_range("content", "source_offset", "source_length").alias("text"))
+        self.hooks.fire("COMPREHEND_STARTED")
+        started = time.monotonic()
         told = comprehended(texts, "chunk_id", "text", self.provider, self.settings.prompt_chars, self.settings.concurrent)
         known = stage(cut.join(told.withColumnRenamed("chunk", "chunk_id"), "chunk_id"))
         failed = stage(known.where("error is not null").groupBy(F.col("document_id").alias("doc_id")).agg(F.min("error").alias("message")))
+        lost_docs = failed.count()
+        self.hooks.fire("COMPREHEND_FINISHED", millis=int((time.monotonic() - started) * 1000), failed=lost_docs)
+        if lost_docs:
+            self.hooks.fire("FAILED", error=DocumentError("DOC_001", f"{lost_docs} documents weren't understood"), step="comprehend", documents=lost_docs)
         known = known.join(failed.select(F.col("doc_id").alias("document_id")), "document_id", "left_anti")
         taken = stage(taken.join(failed.select("doc_id"), "doc_id", "left_anti"))
         words = F.transform("definitions", lambda d: F.lower(d["keyword"]))
@@ -143,8 +166,13 @@ class KnowledgeBase:
                 "chunks": known.select(*(c.split()[0] for c in _CHUNKS.split(", "))),
                 "definitions": given.select(*(c.split()[0] for c in schema.DEFINITIONS.split(", "))),
             }
-            whole = {"nodes": grown.nodes, "links": grown.links, "held": grown.chunks, "postings": grown.postings().withColumn("pos", F.col("pos").cast("int"))}
-            self.store.commit(whole | (added if fresh else {}), {} if fresh else added, root=grown.root)
+            whole = fresh or old.root is None
+            part = grown if whole else grown.delta
+            tables = {"nodes": part.nodes, "links": part.links, "held": part.chunks, "postings": part.postings().withColumn("pos", F.col("pos").cast("int"))}
+            if whole:
+                self.store.commit(tables | (added if fresh else {}), {} if fresh else added, root=grown.root)
+            else:  # what is written follows the batch, not the base
+                self.store.append({n: (t, _KEYED[n]) for n, t in tables.items()} | {n: (t, None) for n, t in added.items()}, root=grown.root)
             self.hooks.fire("TREE_BUILT" if fresh or old.root is None else "TREE_UPDATED")
             self.hooks.fire("COMMITTED", millis=int((time.monotonic() - begun) * 1000))
         ok, none = F.lit(True), F.lit(None).cast("string")
@@ -175,7 +203,11 @@ class KnowledgeBase:
         if tree.root is None:
             raise NavigationError("NAV_001", "there is no tree yet")
         self.hooks.fire("NAVIGATION_STARTED")
-        found, log = navigate(queries, stage(tree.with_lists()), tree.root, self.table("postings"), None, self.provider, self.settings.max_steps)
+        try:
+            found, log = navigate(queries, stage(tree.with_lists()), tree.root, self.table("postings"), None, self.provider, self.settings.max_steps, lambda n: self.hooks.fire("NAVIGATION_STEP", step=n))
+        except Exception as e:
+            self.hooks.fire("FAILED", error=e, step="navigate")
+            raise
         self.log = log
         self.hooks.fire("NAVIGATION_FINISHED")
         about = self.table("chunks").select("chunk_id", "document_id", "section_index", "section_title", "summary")
@@ -191,7 +223,7 @@ class KnowledgeBase:
         kept = place.join(self.table("texts"), "doc_id")
         loose = place.join(self.table("documents").where("mode = 'REFERENCE'").select("doc_id", "file_path"), "doc_id")
         paths = [r[0] for r in loose.select("file_path").distinct().collect()]  # of what was found, few
-        there = [p for p in paths if _Files(self.spark, p.rpartition("/")[0]).exists(p.rpartition("/")[2])]
+        there = [p for p in paths if Files(self.spark, p.rpartition("/")[0]).exists(p.rpartition("/")[2])]
         parts = kept.select("chunk_id", byte_range("content", "source_offset", "source_length").alias("text"))
         if there:
             again = loose.join(read_documents(self.spark, *there).select("file_path", "content"), "file_path")
@@ -207,6 +239,43 @@ class KnowledgeBase:
         out = queries.select("query_id").join(said.select("query_id", "answer", "error"), "query_id", "left").join(sources, "query_id", "left")
         return out.withColumn("error", F.when(F.col("sources").isNull(), "nothing found").otherwise(F.col("error")))
 
+    def delete_documents(self, ids: list[str]) -> None:
+        """Removes the stored copies of documents' texts; files they came from stay, and so do their chunks, whose text is then null."""
+        self.store.commit({"texts": self.table("texts").where(~F.col("doc_id").isin(ids))}, **self.store.facts())
+
+    def clear(self) -> None:
+        """Forgets all documents and answers."""
+        self._writer.submit(self.store.clear).result()
+        if self.cache:
+            self.cache.store.clear()
+
+    def healthy(self) -> bool:
+        """Whether the committed tables can be found."""
+        try:
+            self.store.pointer()
+            return True
+        except StorageError:
+            return False
+
+    def usage(self) -> dict[str, int]:
+        """Bytes of the files of every table."""
+        return self.store.usage()
+
+    def chunk_exists(self, chunk_id: str) -> bool:
+        return bool(self.table("chunks").where(F.col("chunk_id") == chunk_id).take(1))
+
+    def chunk_ids(self) -> DataFrame:
+        return self.table("chunks").select("chunk_id").distinct()
+
+    def contains_value(self, name: str, column: str, value) -> bool:
+        """Whether any row of a table has the value; it is searched whole."""
+        return bool(self.table(name).where(F.col(column).eqNullSafe(F.lit(value))).take(1))
+
+    def copy_sources(self, folder: str) -> DataFrame:
+        """Writes every stored text to a file of its document's name below a folder, byte by byte as it was read; (doc_id, path, bytes)."""
+        kept = self.table("texts").join(self.table("documents").select("doc_id", "title"), "doc_id").select("doc_id", "content")
+        return stage(kept.mapInArrow(_copier(folder), "doc_id string, path string, bytes long"))
+
     def remove_orphans(self) -> list[str]:
         return self.store.clean()
 
@@ -221,11 +290,35 @@ class KnowledgeBase:
         self._writer.shutdown(wait=True)
 
 
+def _copier(folder: str):
+    """A sink for copies, on a file system that workers reach by a path."""
+    local = folder.removeprefix("file://")
+
+    def copy(batches):
+        import os
+
+        import pyarrow as pa
+
+        os.makedirs(local, exist_ok=True)
+        for batch in batches:
+            paths, sizes = [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
+                data, path = (text or "").encode("utf-8", "replace"), os.path.join(local, doc)
+                with open(f"{path}.part", "wb") as f:
+                    f.write(data)
+                os.replace(f"{path}.part", path)
+                paths.append(path)
+                sizes.append(len(data))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "path", "bytes"])
+
+    return copy
+
+
 class Engine:
     """Named knowledge bases below a folder; one is current, 'default' is made at need."""
 
     def __init__(self, spark: SparkSession, root: str, provider: Provider | None = None, settings: Settings | None = None, hooks: Hooks | None = None) -> None:
-        self.spark, self._files, self._make = spark, _Files(spark, root), (provider, settings, hooks)
+        self.spark, self._files, self._make = spark, Files(spark, root), (provider, settings, hooks)
         self._open: dict[str, KnowledgeBase] = {}
         if not self.exists("default"):
             self.create("default")
@@ -247,7 +340,7 @@ class Engine:
     def create(self, name: str) -> KnowledgeBase:
         if self.exists(name):
             raise StorageError("STORAGE_003", f"{name} is there already")
-        _Files(self.spark, f"{self._files.root}/{name}").replace("", MARKER)
+        Files(self.spark, f"{self._files.root}/{name}").replace("", MARKER)
         return self.get(name)
 
     def get(self, name: str | None = None) -> KnowledgeBase:
@@ -276,6 +369,10 @@ class Engine:
     def search(self, queries: DataFrame | str, base: str | None = None) -> DataFrame:
         return self.get(base).search(queries)
 
+    def cache(self, base: str | None = None) -> ResponseCache | None:
+        """The answers kept for a base: statistics, sizes, clear, warm, reconfigure, log."""
+        return self.get(base).cache
+
     def close(self) -> None:
         for base in self._open.values():
             base.close()

@@ -56,6 +56,13 @@ def string_list(c: Column | str) -> Column:
     return F.filter(F.transform(entries, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
+def json_text(c: Column | str) -> Column:
+    """A value of a struct, array or map as JSON, one of another type as a JSON scalar; null for a null.  Fields that are null stay."""
+    x = col(c)
+    wrapped = F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"})
+    return F.when(x.isNotNull(), F.regexp_extract(wrapped, r"(?s)\A\{\"v\":(.*)\}\z", 1))
+
+
 def keyword_lines(c: Column | str) -> Column:
     """Keywords from an answer of one or several to a line, in lower case.
 

@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomelattice.model.cache import looked_up
 from tomelattice.model.provider import MARK, Provider, Response
-from tomelattice.session import stage
+from tomelattice.session import Stage, stage
 
 ANSWER = "struct<content: string, input_tokens: int, output_tokens: int, duration_ms: int, success: boolean, error: string>"
 
@@ -52,11 +53,22 @@ def _caller(provider: Provider, request_type: str):
 def asked(rows: DataFrame, request_type: str, provider: Provider, column: str = "answer", concurrent: int | None = None) -> DataFrame:
     """rows (with a prompt) and the answer to each; equal prompts are asked once.
 
-    A failed call is an answer without success; null prompts have no answer.  The calls are made
+    Where the provider has a table of answers, only prompts without one are asked.  A failed call is an answer without success; null prompts have no answer.  The calls are made
     once and written, so that later steps don't repeat them; `concurrent` is how many run at a time.
     """
     prompts = rows.where("prompt is not null").select("prompt").distinct()
-    if concurrent:
-        prompts = prompts.repartition(concurrent)
-    answers = stage(prompts.mapInArrow(_caller(provider, request_type), f"prompt string, answer {ANSWER}"))
+    kinds = f"prompt string, answer {ANSWER}"
+    spread = lambda t: t.repartition(concurrent) if concurrent else t
+    cache = getattr(provider, "cache", None)
+    if cache is None or not cache.keeps(request_type):
+        answers = stage(spread(prompts).mapInArrow(_caller(provider, request_type), kinds))
+        return rows.join(answers.withColumnRenamed("answer", column), "prompt", "left")
+    known = Stage(looked_up(prompts, request_type, F.col("prompt"), cache), hits=F.count("_kept"), all=F.count(F.lit(1)))
+    cache.counted(request_type, known.seen["hits"], known.seen["all"] - known.seen["hits"])
+    kept = F.struct(F.col("_kept.response").alias("content"), F.col("_kept.input_tokens").alias("input_tokens"), F.col("_kept.output_tokens").alias("output_tokens"), F.lit(0).alias("duration_ms"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+    answers = known.df.where("_kept is not null").select("prompt", kept.cast(ANSWER).alias("answer"))
+    if known.seen["hits"] < known.seen["all"]:
+        new = stage(spread(known.df.where("_kept is null").select("prompt")).mapInArrow(_caller(provider, request_type), kinds))
+        cache.add(request_type, new.where("answer.success").select("prompt", F.col("answer.content").alias("response"), "answer.input_tokens", "answer.output_tokens"))
+        answers = answers.unionByName(new)
     return rows.join(answers.withColumnRenamed("answer", column), "prompt", "left")

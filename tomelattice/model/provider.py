@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import json
 import re
+import socket
+import socketserver
 import threading
 import time
+import urllib.request
 from collections import Counter, OrderedDict, deque
 from dataclasses import dataclass
 from typing import Protocol
@@ -182,12 +185,13 @@ class CachedProvider:
                 kept.move_to_end(prompt)
                 return answer
             self.misses += 1
-            answer = self.inner.chat(prompt, request_type)
-            if answer.success:
+        answer = self.inner.chat(prompt, request_type)  # others may ask meanwhile
+        if answer.success:
+            with self._lock:
                 kept[prompt] = (now, answer)
                 while len(kept) > limit[0]:
                     kept.popitem(last=False)
-            return answer
+        return answer
 
     @staticmethod
     def _alike(prompt: str, kept: OrderedDict) -> str | None:
@@ -229,35 +233,98 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - row[-1] / max(len(a), len(b))
 
 
+class Window:
+    """Gives out times to begin at: at most `most` in any `seconds`."""
+
+    def __init__(self, most: int, seconds: float, clock=time.monotonic) -> None:
+        self.most, self.seconds, self.clock = most, seconds, clock
+        self._given: deque[float] = deque(maxlen=most)
+        self._lock = threading.Lock()
+
+    def delay(self) -> float:
+        """Seconds that a caller has to wait for its turn."""
+        with self._lock:
+            now = self.clock()
+            turn = max(now, self._given[0] + self.seconds) if len(self._given) == self.most else now
+            self._given.append(turn)
+            return turn - now
+
+
+class SharedWindow:
+    """A window in the driver that the workers of all machines ask, so that its limit holds for all their calls together."""
+
+    def __init__(self, most: int, seconds: float, host: str = "127.0.0.1") -> None:
+        window = Window(most, seconds)
+
+        class Answer(socketserver.StreamRequestHandler):
+            def handle(self) -> None:
+                self.wfile.write(f"{window.delay()!r}\n".encode())
+
+        self._server = socketserver.ThreadingTCPServer((host, 0), Answer)
+        self._server.daemon_threads = True
+        threading.Thread(target=self._server.serve_forever, daemon=True).start()
+        self.address = self._server.server_address
+
+    def __getstate__(self) -> dict:
+        return {"address": self.address}
+
+    def delay(self) -> float:
+        with socket.create_connection(self.address, timeout=60) as s:
+            return float(s.makefile().readline())
+
+    def close(self) -> None:
+        self._server.shutdown()
+        self._server.server_close()
+
+
 class RateLimitedProvider:
-    """Lets at most `most` calls begin in any `seconds`, of all types together; callers wait.  The limit holds in one process."""
+    """Lets at most `most` calls begin in any `seconds`, of all types together; callers wait, each for its own turn.
 
-    def __init__(self, inner: Provider, most: int = 5, seconds: float = 60.0, clock=time.monotonic, sleep=time.sleep) -> None:
+    The limit is that of this process, or with a SharedWindow that of all who have it.
+    """
+
+    def __init__(self, inner: Provider, most: int = 5, seconds: float = 60.0, clock=time.monotonic, sleep=time.sleep, window: SharedWindow | None = None) -> None:
         self.inner, self.most, self.seconds, self.clock, self.sleep = inner, most, seconds, clock, sleep
-        self._begun: deque[float] = deque()
-        self._lock = threading.Lock()
+        self.window = window or Window(most, seconds, clock)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_lock"}
+        return self.__dict__ | ({"window": None} if isinstance(self.window, Window) else {})
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._lock = threading.Lock()
+        self.window = self.window or Window(self.most, self.seconds, self.clock)
 
     def chat(self, prompt: str, request_type: str) -> Response:
-        with self._lock:
-            while True:
-                now = self.clock()
-                while self._begun and self._begun[0] <= now - self.seconds:
-                    self._begun.popleft()
-                if len(self._begun) < self.most:
-                    self._begun.append(now)
-                    break
-                self.sleep(self._begun[0] + self.seconds - now)
+        wait = self.window.delay()
+        if wait > 0:
+            self.sleep(wait)
         return self.inner.chat(prompt, request_type)
 
 
-def composed(base: Provider, cache_limits: dict | None = None, rate: tuple[int, float] | None = None, similar: bool = False) -> Provider:
+class HttpProvider:
+    """A model behind a plain HTTP endpoint that takes and gives JSON in the common form of chat completions.
+
+    Token numbers are those of the answer; whatever goes wrong is a failed call.
+    """
+
+    def __init__(self, url: str, model: str, headers: dict[str, str] | None = None, timeout: float = 120.0) -> None:
+        self.url, self.model, self.headers, self.timeout = url, model, headers or {}, timeout
+
+    def chat(self, prompt: str, request_type: str) -> Response:
+        begun = time.monotonic()
+        try:
+            body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}]}).encode()
+            request = urllib.request.Request(self.url, body, {"Content-Type": "application/json"} | self.headers)
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                got = json.load(answer)
+            used = got.get("usage") or {}
+            text = got["choices"][0]["message"]["content"]
+            return Response(text, int(used.get("prompt_tokens", 0)), int(used.get("completion_tokens", 0)), int((time.monotonic() - begun) * 1000))
+        except Exception as e:
+            return Response.failure(f"{type(e).__name__}: {e}")
+
+
+def composed(base: Provider, cache_limits: dict | None = None, rate: tuple[int, float] | None = None, similar: bool = False, window: SharedWindow | None = None) -> Provider:
     """The base behind a rate limit behind a cache, so that kept answers don't count against the limit."""
-    out = RateLimitedProvider(base, *rate) if rate else base
+    out = RateLimitedProvider(base, *(rate or ()), window=window) if rate or window else base
     return CachedProvider(out, cache_limits, similar) if cache_limits else out

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomelattice.functions.text import trimmed
+from tomelattice.model.cache import looked_up
 from tomelattice.model.calls import INSTRUCTIONS
 from tomelattice.model.provider import MARK, Provider
 from tomelattice.operators.sections import PROMPT_CHARS, window_sections
-from tomelattice.session import stage
+from tomelattice.session import Stage, stage
 
 DEFINITION = "struct<keyword: string, definition: string, context: string>"
 UNDERSTOOD = f"summary string, definitions array<{DEFINITION}>, entities array<string>, questions array<string>, calls int, input_tokens long, output_tokens long, error string"
@@ -91,7 +92,7 @@ _ARROW = {
 
 
 def comprehended(chunks: DataFrame, chunk: str, text: str, provider: Provider, most: int = PROMPT_CHARS, concurrent: int | None = None) -> DataFrame:
-    """(chunk, summary, definitions, entities, questions, calls, tokens, error) for every row; written, so that no call is made twice."""
+    """(chunk, summary, definitions, entities, questions, calls, tokens, error) for every row; written, so that no call is made twice, and kept where the provider has a table of answers."""
     kind = chunks.schema[chunk].dataType.simpleString()
     rows = chunks.select(F.col(chunk).alias("chunk"), F.col(text).alias("_text"))
 
@@ -100,7 +101,24 @@ def comprehended(chunks: DataFrame, chunk: str, text: str, provider: Provider, m
             found = [understand(provider, t, most) for t in batch.column("_text").to_pylist()]
             yield pa.record_batch([batch.column("chunk"), *(pa.array([f[c] for f in found], t) for c, t in _ARROW.items())], ["chunk", *_ARROW])
 
-    return stage((rows.repartition(concurrent) if concurrent else rows).mapInArrow(work, f"chunk {kind}, {UNDERSTOOD}"))
+    kinds = f"chunk {kind}, {UNDERSTOOD}"
+    spread = lambda t: t.repartition(concurrent) if concurrent else t
+    cache = getattr(provider, "cache", None)
+    if cache is None or not cache.keeps("COMPREHEND_CHUNK"):
+        return stage(spread(rows).mapInArrow(work, kinds))
+    # What was understood of a text is kept whole, under the text and the size of the prompts it was read in.
+    asked = F.concat(F.lit(f"{most}{MARK}"), F.coalesce("_text", F.lit("")))
+    known = Stage(looked_up(rows, "COMPREHEND_CHUNK", asked, cache), hits=F.count("_kept"), all=F.count(F.lit(1)))
+    cache.counted("COMPREHEND_CHUNK", known.seen["hits"], known.seen["all"] - known.seen["hits"])
+    columns = [F.col(f"_u.{c}").alias(c) for c in _ARROW]
+    out = known.df.where("_kept is not null").withColumn("_u", F.from_json("_kept.response", UNDERSTOOD)).select("chunk", *columns)
+    if known.seen["hits"] < known.seen["all"]:
+        missed = known.df.where("_kept is null").select("chunk", "_text")
+        new = stage(spread(missed).mapInArrow(work, kinds))
+        told = missed.join(new.where("error is null"), "chunk").select(asked.alias("prompt"), F.to_json(F.struct(*_ARROW)).alias("response"), "input_tokens", "output_tokens").dropDuplicates(["prompt"])
+        cache.add("COMPREHEND_CHUNK", told)
+        out = out.unionByName(new)
+    return stage(out)
 
 
 def first_by(array: Column, key) -> Column:

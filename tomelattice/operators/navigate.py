@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def query_keywords(queries: DataFrame, provider: Provider | None) -> DataFrame:
     return answers.withColumn("asked", F.when(F.col("answer.success") & (F.size(said) > 0), F.array_join(said, " ")).otherwise(F.col("query"))).drop("prompt", "answer")
 
 
-def navigate(queries: DataFrame, nodes: DataFrame, root: str, entries: DataFrame, weighting: DataFrame | None = None, provider: Provider | None = None, max_steps: int = MAX_STEPS) -> tuple[DataFrame, DataFrame]:
+def navigate(queries: DataFrame, nodes: DataFrame, root: str, entries: DataFrame, weighting: DataFrame | None = None, provider: Provider | None = None, max_steps: int = MAX_STEPS, on_step: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """The chunks found for each query, and how it went.
 
     queries has query_id, unique, and query.  A walk begins at the best node that a query's keywords
@@ -72,7 +74,7 @@ def navigate(queries: DataFrame, nodes: DataFrame, root: str, entries: DataFrame
     steps or a failed call lead to keyword search, whose best node with chunks of three ends the
     walk.  Stopping finds nothing.  The first result is (query_id, node_id, chunk_id); the
     second (query_id, outcome, path, steps, error): a blank query has error NAV_007, an answer that
-    is no decision NAV_004, and both find nothing.
+    is no decision NAV_004, and both find nothing.  on_step is called with the number of every step.
     """
     blank = queries.where(is_blank("query")).select("query_id")
     live = stage(query_keywords(queries.where(~is_blank("query")).select("query_id", "query"), provider))
@@ -91,9 +93,11 @@ def navigate(queries: DataFrame, nodes: DataFrame, root: str, entries: DataFrame
     ended = [state.where("false").select("query_id", "query", "path", "steps", F.array("node_id").alias("picked"), F.lit("").alias("outcome"), F.lit(None).cast("string").alias("error"))]
     keep = ["query_id", "query", "path", "steps", "picked", "outcome", "error"]
     none = F.lit(None).cast("string")
-    for _ in range(max_steps + 1):
+    for taken in range(max_steps + 1):
         if state.isEmpty():
             break
+        if on_step:
+            on_step(taken + 1)
         here = stage(state.join(lists.withColumnRenamed("parent", "node_id"), "node_id", "left"))
         ended.append(here.where("below is null").select("query_id", "query", "path", "steps", F.array("node_id").alias("picked"), F.lit("arrived").alias("outcome"), none.alias("error")))
         walking = here.where("below is not null").withColumn("steps", F.col("steps") + 1)

@@ -155,6 +155,7 @@ class Tree:
 
     def __init__(self, nodes: DataFrame, links: DataFrame, chunks: DataFrame, root: str | None) -> None:
         self.nodes, self.links, self.chunks, self.root = nodes, links, chunks, root
+        self.delta: Tree | None = None  # of a grown tree, the rows that are new or changed
 
     def postings(self) -> DataFrame:
         """(keyword, node_id, pos) of all nodes' keywords."""
@@ -217,34 +218,51 @@ def build(docs: DataFrame, chapters: DataFrame, provider: Provider | None = None
     return Tree(stage(nodes), stage(links), stage(chunks), root)
 
 
-def overlap(node_keywords: Column, node_entities: Column, doc_keywords: Column) -> Column:
-    """A category's matches with a document: its keywords among the document's, each as often as it has it, and its entities that hold or are held by one."""
+def overlaps(docs: DataFrame, categories: DataFrame) -> DataFrame:
+    """(doc_id, child, score): the matches of documents with the categories below the node each has reached.
+
+    docs has doc_id, node_id and keywords; categories has node_id, child, words and entities.  A
+    category matches with each of its keywords that is among the document's, as often as it has it,
+    and with each of its entities that holds, or is held by, one of them; letter case doesn't
+    matter, empty entries don't count.  Documents meet categories by equal keywords, or by equal
+    parts of words, not each with each.
+    """
     low = lambda c: F.transform(F.coalesce(c, _none()), F.lower)
-    theirs = low(doc_keywords)
-    words = F.size(F.filter(low(node_keywords), lambda x: F.array_contains(theirs, x)))
-    names = F.size(F.filter(low(node_entities), lambda e: F.exists(theirs, lambda k: e.contains(k) | k.contains(e))))
-    return words + names
+    theirs = stage(docs.select("node_id", "doc_id", F.explode(F.array_distinct(low(F.col("keywords")))).alias("k")).where("k <> ''"))
+    words = categories.select("node_id", "child", F.explode(low(F.col("words"))).alias("k")).groupBy("node_id", "child", "k").agg(F.count("*").alias("n"))
+    names = stage(categories.select("node_id", "child", F.posexplode(low(F.col("entities"))).alias("i", "e")).where("e <> ''"))
+    parts = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n))))))
+    # Pairs of an entity and a keyword of which one holds the other, each met once for all documents and categories.
+    entity, keyword = names.select("e").distinct(), theirs.select("k").distinct()
+    holds = entity.select("e", parts("e").alias("k")).join(keyword, "k").select("e", "k")
+    held = keyword.select("k", parts("k").alias("e")).join(entity, "e").select("e", "k")
+    met = stage(holds.union(held).distinct())
+    same = theirs.join(words, ["node_id", "k"]).select("doc_id", "child", "n")
+    alike = names.join(met, "e").join(theirs, ["node_id", "k"]).select("doc_id", "child", "i").distinct().select("doc_id", "child", F.lit(1).cast("long").alias("n"))
+    return same.unionByName(alike).groupBy("doc_id", "child").agg(F.sum("n").alias("score"))
 
 
 def best_categories(docs: DataFrame, tree: Tree) -> DataFrame:
     """(doc_id, node_id): from the root down, the child category with most matches, of equals the first, until none has any.
 
     docs has doc_id and keywords.  Documents that match no category get the root; none if the root
-    is no category.  A document meets only the children of the category it has reached.
+    is no category.  A document meets only children of the category it has reached, by what they
+    have in common.
     """
     inner = tree.nodes.where(F.col("type").isin("CATEGORY", "ROOT"))
-    children = stage(tree.links.join(inner.select(F.col("node_id").alias("child"), F.col("keywords").alias("words"), "key_entities"), "child").select(F.col("parent").alias("node_id"), "child", "pos", "words", "key_entities"))
+    children = stage(tree.links.join(inner.select(F.col("node_id").alias("child"), F.col("keywords").alias("words"), F.col("key_entities").alias("entities")), "child").select(F.col("parent").alias("node_id"), "child", "pos", "words", "entities"))
     at_root = inner.where(F.col("node_id") == F.lit(tree.root))
-    state = docs.select("doc_id", "keywords", F.lit(tree.root).alias("node_id")).join(at_root.select("node_id"), "node_id", "left_semi")
+    state = stage(docs.select("doc_id", "keywords", F.lit(tree.root).alias("node_id"), F.array(F.lit(tree.root)).alias("way")).join(at_root.select("node_id"), "node_id", "left_semi"))
     done = None
-    state = stage(state)
     while not state.isEmpty():
-        met = state.join(children, "node_id").withColumn("score", overlap(F.col("words"), F.col("key_entities"), F.col("keywords"))).where("score > 0")
-        next_ = met.groupBy("doc_id").agg(F.max_by("child", F.struct("score", -F.col("pos"))).alias("next"))
+        found = overlaps(state, children.join(state.select("node_id").distinct(), "node_id", "left_semi"))
+        # A category passed before, as broken trees may have it, is not entered again.
+        scored = found.join(state.select("doc_id", "node_id", "way"), "doc_id").join(children.select("node_id", "child", "pos"), ["node_id", "child"]).where(~F.array_contains("way", F.col("child")))
+        next_ = scored.groupBy("doc_id").agg(F.max_by("child", F.struct("score", -F.col("pos"))).alias("next"))
         moved = stage(state.join(next_, "doc_id", "left"))
         stay = moved.where("next is null").select("doc_id", "node_id")
         done = stay if done is None else done.unionByName(stay)
-        state = stage(moved.where("next is not null").select("doc_id", "keywords", F.col("next").alias("node_id")))
+        state = stage(moved.where("next is not null").select("doc_id", "keywords", F.col("next").alias("node_id"), F.concat("way", F.array("next")).alias("way")))
     return done if done is not None else state.select("doc_id", "node_id")
 
 
@@ -264,13 +282,14 @@ def attach(tree: Tree, docs: DataFrame, chapters: DataFrame) -> Tree:
     loose = stage(found.where((F.col("node_id") == F.lit(tree.root)) | F.col("node_id").isNull()))
     last = tree.links.groupBy(F.col("parent").alias("node_id")).agg((F.max("pos") + 1).alias("base"))
     put = ranked(placed.select("node_id", "child", "ordinal"), ["node_id"], ["ordinal"], "_r").join(last, "node_id", "left")
-    links = tree.links.unionByName(links).unionByName(put.select(F.col("node_id").alias("parent"), "child", (F.coalesce("base", F.lit(0)) + F.col("_r") - 1).cast("long").alias("pos")))
+    links = links.unionByName(put.select(F.col("node_id").alias("parent"), "child", (F.coalesce("base", F.lit(0)) + F.col("_r") - 1).cast("long").alias("pos")))
     lists = {"keywords": "keywords", "key_entities": "entities", "example_questions": "questions"}
     grown = [
         placed.select("node_id", "ordinal", F.posexplode(c).alias("i", "x")).groupBy("node_id", "x").agg(F.min(F.struct("ordinal", "i")).alias("at")).groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("l")).select("node_id", F.col("l.x").alias(f"_{n}"))
         for n, c in lists.items()
     ]
-    old = tree.nodes
+    hosts = placed.select("node_id").distinct()
+    old = tree.nodes.join(hosts, "node_id", "left_semi")
     for g in grown:
         old = old.join(g, "node_id", "left")
     for n in lists:
@@ -283,4 +302,8 @@ def attach(tree: Tree, docs: DataFrame, chapters: DataFrame) -> Tree:
         under = ranked(loose.select("child", "ordinal"), [], ["ordinal"], "_r").select(F.lit(new_root).alias("parent"), "child", F.col("_r").cast("long").alias("pos"))
         first = above.select(F.col("node_id").alias("parent"), F.lit(root).alias("child"), F.lit(0).cast("long").alias("pos"))
         nodes, links, root = nodes.unionByName(above.select(*NODE)), links.unionByName(first).unionByName(under), new_root
-    return Tree(stage(nodes), stage(links), stage(tree.chunks.unionByName(chunks)), root)
+    delta = Tree(stage(nodes), stage(links), stage(chunks), root)
+    kept = tree.nodes.join(hosts, "node_id", "left_anti").select(*NODE)
+    out = Tree(kept.unionByName(delta.nodes), tree.links.unionByName(delta.links), tree.chunks.unionByName(delta.chunks), root)
+    out.delta = delta
+    return out

@@ -43,13 +43,13 @@ FROM x GROUP BY source
 
 
 def document_faults(spark: SparkSession, d: str) -> DataFrame:
-    """What is wrong with kb_documents, by rule."""
-    return table(spark, d, "kb_documents").select("id", schema.document_fault().alias("fault")).where("fault is not null")
+    """What is wrong with documents, by rule, where their title and text are null or empty."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "title", F.col("text").alias("content"), F.lit(None).cast("string").alias("file_path"))
+    return schema.valid_documents(docs)[1].select("id", "fault")
 
 
 DOCUMENT_FAULTS = """
-SELECT * FROM (SELECT id, CASE WHEN coalesce(id, '') = '' THEN 'no id' WHEN coalesce(title, '') = '' THEN 'no title'
-  WHEN coalesce(content, '') = '' AND coalesce(file_path, '') = '' THEN 'neither content nor file_path' END AS fault FROM kb_documents) WHERE fault IS NOT NULL
+SELECT * FROM (SELECT doc_id::VARCHAR AS id, CASE WHEN coalesce(title, '') = '' THEN 'no title' WHEN coalesce(text, '') = '' THEN 'neither content nor file_path' END AS fault FROM documents) WHERE fault IS NOT NULL
 """
 
 
@@ -116,16 +116,61 @@ def line_sections(spark: SparkSession, d: str) -> DataFrame:
     return sections.cut_texts(table(spark, d, "kb_documents"), "id", "content", 1000).withColumnRenamed("doc", "doc_id")
 
 
+# The next cut of a section is before the first line that ends beyond the limit, counted from the cut before.
+_LINE_SECTIONS = f"""
+{_HEADED.replace("WITH marked", "WITH RECURSIVE marked", 1)},
+whole AS (SELECT doc_id, line_no, start, least(start + chars + 1, length(content)) AS stop, chars < {{limit}} AS short, CASE WHEN chars < {{limit}} THEN level END AS level, headed.title FROM headed JOIN kb_documents ON id = doc_id),
+pieces AS (SELECT * FROM whole WHERE short UNION ALL SELECT doc_id, line_no, x, least(x + {{limit}}, stop), short, level, title FROM (SELECT *, unnest(range(start, stop, {{limit}})) AS x FROM whole WHERE NOT short)),
+units AS MATERIALIZED (SELECT doc_id, start, stop, level, title, count(level) OVER (PARTITION BY doc_id ORDER BY start, stop) AS sec FROM pieces),
+cuts AS (
+  SELECT doc_id, sec, min(start) AS cut_at, 1 AS n FROM units GROUP BY doc_id, sec
+  UNION ALL SELECT c.doc_id, c.sec, min(u.start), c.n + 1 FROM cuts c JOIN units u ON u.doc_id = c.doc_id AND u.sec = c.sec AND u.start > c.cut_at AND u.stop - c.cut_at > {{limit}} GROUP BY c.doc_id, c.sec, c.n
+),
+named AS (SELECT doc_id, sec, max(level) AS level, max(title) FILTER (level IS NOT NULL) AS title, max(max(sec)) OVER (PARTITION BY doc_id) AS secs FROM units GROUP BY doc_id, sec),
+spans AS (
+  SELECT doc_id, coalesce(named.title, CASE WHEN secs = 0 OR n > 1 THEN '正文' ELSE '前言' END) || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END AS title, coalesce(level, 0) AS level, cut_at AS start,
+    coalesce(lead(cut_at) OVER (PARTITION BY doc_id ORDER BY cut_at, n), length(content)) AS stop, content
+  FROM cuts JOIN named USING (doc_id, sec) JOIN kb_documents ON id = doc_id
+),
+found AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS part_no, title, level, start, stop, strlen(substr(content, 1, start)) AS byte_offset, strlen(substr(content, start + 1, stop - start)) AS byte_length
+  FROM spans WHERE regexp_matches(substr(content, start + 1, stop - start), '[^\\s\\x0B\\x1C-\\x1F\\x{{{{85}}}}\\x{{{{A0}}}}\\x{{{{1680}}}}\\x{{{{2000}}}}-\\x{{{{200A}}}}\\x{{{{2028}}}}\\x{{{{2029}}}}\\x{{{{202F}}}}\\x{{{{205F}}}}\\x{{{{3000}}}}]')
+)
+"""
+LINE_SECTIONS = _LINE_SECTIONS.replace("{limit}", "1000").replace("{{", "{").replace("}}", "}") + 'SELECT doc_id, part_no, title, level, start, stop AS "end", byte_offset, byte_length FROM found'
+
+
 def prompt_windows(spark: SparkSession, d: str) -> DataFrame:
     """documents cut into windows of 4000 characters, after a line where possible."""
     return sections.cut_texts(table(spark, d, "documents"), "doc_id", "text", sections.PROMPT_CHARS, "prompts").select(F.col("doc").alias("doc_id"), "part_no", "start", "end")
 
 
+PROMPT_WINDOWS = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, 0 AS start, CAST(0 AS BIGINT) AS "end" FROM documents WHERE text <> ''
+  UNION ALL
+  SELECT doc_id, "end", CASE WHEN "end" + 4000 >= length(text) THEN length(text) WHEN nl > 0 THEN "end" + 4000 - nl + 1 ELSE "end" + 4000 END
+  FROM (SELECT c.doc_id, c."end", text, strpos(reverse(substr(text, c."end" + 2002, 1999)), chr(10)) AS nl FROM cut c JOIN documents d ON d.doc_id = c.doc_id WHERE c."end" < length(text))
+)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS part_no, start::BIGINT AS start, "end" FROM cut JOIN documents USING (doc_id)
+WHERE "end" > 0 AND regexp_matches(substr(text, start + 1, "end" - start), '[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')
+"""
+
+
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of kb_documents: whole, or sections above 2000 characters."""
     return sections.chunks(table(spark, d, "kb_documents"), threshold=2000).drop("document_title")
 
 
+DOCUMENT_CHUNKS = _LINE_SECTIONS.replace("{limit}", "2000").replace("{{", "{").replace("}}", "}") + r"""
+SELECT doc_id || '#' || part_no AS chunk_id, doc_id AS document_id, part_no AS section_index, title AS section_title, level AS heading_level, byte_offset AS source_offset, byte_length AS source_length
+FROM found WHERE doc_id IN (SELECT id FROM kb_documents WHERE length(content) > 2000)
+UNION ALL
+SELECT id || '#0', id, 0, CASE WHEN regexp_matches(coalesce(title, ''), '[^\s\x0B\x{85}\x{A0}\x{3000}]') THEN title ELSE '文档' END, 0, 0, strlen(content)
+FROM kb_documents WHERE length(content) <= 2000 AND regexp_matches(content, '[^\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')
+"""
+
+
 def section_bytes(spark: SparkSession, d: str) -> DataFrame:
     """The bytes of every section of section_refs, read by offset."""
     refs = table(spark, d, "section_refs").where("byte_length > 0").select("doc_id", "section_index", "byte_offset", "byte_length").distinct()
@@ -276,14 +321,33 @@ SELECT DISTINCT 'extract_keywords:' || md5(content) AS cache_key, 'EXTRACT_KEYWO
 """
 
 
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    kb, pending = table(spark, d, "kb_documents"), table(spark, d, "pending_documents")
+    return kb.select("id", "title").union(pending.select("doc_id", "title"))
+
+
 def prompt_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Questions that count as the same prompt."""
-    return prompts.alike(table(spark, d, "eval_items").select(F.col("item_id").alias("id"), F.col("question").alias("prompt")))
+    """Names of nodes that count as the same prompt, one row of each name."""
+    names = table(spark, d, "nodes").groupBy(F.col("node_name").alias("prompt")).agg(F.min("node_id").alias("id"))
+    return prompts.alike(names).select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
+
+
+_ALIKE = r"""
+SELECT id, trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')) AS p FROM prompts WHERE prompt IS NOT NULL AND id IS NOT NULL),
+texts AS MATERIALIZED (SELECT p, length(p) AS n, min(id) AS first FROM rows GROUP BY p),
+near AS (SELECT a.p, b.p AS q, 1 - levenshtein(a.p, b.p) / greatest(a.n, b.n) AS similarity FROM texts a JOIN texts b ON a.p < b.p AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) - 1e-9 AND a.n BETWEEN 1 AND 500 AND b.n BETWEEN 1 AND 500),
+pairs AS (SELECT x.id AS u, y.id AS v, similarity FROM near JOIN rows x ON x.p = near.p JOIN rows y ON y.p = near.q WHERE similarity >= 0.85 - 1e-12 UNION ALL SELECT first, id, 1.0 FROM rows JOIN texts USING (p) WHERE id <> first)
+SELECT least(u, v) AS id_a, greatest(u, v) AS id_b, round(similarity, 9) AS similarity FROM pairs
+"""
+PROMPT_SIMILARITY = f"WITH prompts AS (SELECT node_name AS prompt, min(node_id) AS id FROM nodes GROUP BY node_name), rows AS MATERIALIZED ({_ALIKE}"
 
 
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of documents alike enough to share an answer."""
-    return prompts.alike(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("title").alias("prompt")))
+    """Titles of accepted and pending documents alike enough to share an answer."""
+    return prompts.alike(_titles(spark, d).withColumnRenamed("title", "prompt")).select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
+
+
+TITLE_SIMILARITY = f"WITH prompts AS (SELECT id, title AS prompt FROM kb_documents UNION ALL SELECT doc_id, title FROM pending_documents), rows AS MATERIALIZED ({_ALIKE}"
 
 
 def rate_limit_replay(spark: SparkSession, d: str) -> DataFrame:
@@ -291,6 +355,18 @@ def rate_limit_replay(spark: SparkSession, d: str) -> DataFrame:
     return prompts.rate_limited(table(spark, d, "events"), "event_type", "ts", "event_id", 5, 3600.0)
 
 
+RATE_LIMIT_REPLAY = """
+WITH RECURSIVE ev AS MATERIALIZED (SELECT event_type, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL),
+fold AS (
+  SELECT event_type, event_id, i, true AS admitted, [t] AS held FROM ev WHERE i = 1
+  UNION ALL
+  SELECT event_type, event_id, i, len(kept) < 5, CASE WHEN len(kept) < 5 THEN list_append(kept, t) ELSE kept END
+  FROM (SELECT e.event_type, e.event_id, e.i, e.t, list_filter(f.held, lambda x: x > e.t - 3600) AS kept FROM fold f JOIN ev e ON e.event_type IS NOT DISTINCT FROM f.event_type AND e.i = f.i + 1)
+)
+SELECT event_type, event_id, admitted FROM fold
+"""
+
+
 def latest_events(spark: SparkSession, d: str) -> DataFrame:
     """Every user's last event: the last write wins."""
     return dedupe.latest(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")

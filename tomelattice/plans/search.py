@@ -201,34 +201,32 @@ SELECT query_id, string_agg('[' || i || '] ' || trim(body), chr(10) || chr(10) O
 
 
 def best_category(spark: SparkSession, d: str) -> DataFrame:
-    """The category below a root with most keywords in common, for every document of keyword_definitions."""
+    """Where every document of keyword_definitions goes, from the first root down, by keywords and entities in common."""
     nodes = _nodes(spark, d)
     words = schema.valid_definitions(table(spark, d, "keyword_definitions")).where("document_id <> ''").groupBy(F.col("document_id").alias("doc_id")).agg(F.collect_set("normalized").alias("keywords"))
-    roots = nodes.where("type = 'ROOT'").select(F.col("node_id").alias("parent"))
-    tops = nav.child_links(nodes).join(roots, "parent", "left_semi").select(F.col("child").alias("node_id")).distinct().join(nodes.where("type in ('CATEGORY', 'ROOT')"), "node_id")
-    # Every keyword and entity meets the documents that have it or a part of it, not every document every category.
-    each = stage(tops.select("node_id", F.transform("keywords", F.lower).alias("keywords"), F.transform("key_entities", F.lower).alias("entities")))
-    doc_words = stage(words.select("doc_id", F.explode("keywords").alias("k")))
-    same = each.select("node_id", F.explode("keywords").alias("k")).join(doc_words, "k").groupBy("doc_id", "node_id").agg(F.count("*").alias("n"))
-    names = each.select("node_id", F.explode("entities").alias("e")).select("node_id", "e")
-    held = index.matches_contained(names.select(F.col("e").alias("query_id"), F.col("e").alias("query")).distinct(), doc_words.select(F.col("k").alias("keyword"))).select(F.col("query_id").alias("e"), F.col("keyword").alias("k"))
-    holds = index.matches_contained(doc_words.select(F.col("k").alias("query_id"), F.col("k").alias("query")).distinct(), names.select(F.col("e").alias("keyword"))).select(F.col("keyword").alias("e"), F.col("query_id").alias("k"))
-    single = names.select("e").distinct().join(doc_words.select("k").distinct(), F.col("e") == F.col("k"))
-    met = held.union(holds).union(single.select("e", "k")).distinct()
-    alike = names.join(met, "e").join(doc_words, "k").select("doc_id", "node_id", "e").distinct().groupBy("doc_id", "node_id").agg(F.count("*").alias("n"))
-    total = same.unionByName(alike).groupBy("doc_id", "node_id").agg(F.sum("n").alias("score"))
-    best = total.groupBy("doc_id").agg(F.max("score").alias("score"))
-    return total.join(best, ["doc_id", "score"]).groupBy("doc_id", "score").agg(F.min("node_id").alias("node_id"))
+    root = nodes.where("type = 'ROOT'").agg(F.min("node_id")).first()[0]
+    links = nav.child_links(nodes.select("node_id", "children_ids"))
+    return trees.best_categories(words, trees.Tree(nodes, links, links.limit(0), root)).select("doc_id", "node_id")
 
 
 BEST_CATEGORY = rf"""
-WITH words AS (SELECT DISTINCT {_TRIM.format("document_id")} AS doc_id, lower({_TRIM.format("keyword")}) AS k FROM keyword_definitions WHERE {_TRIM.format("document_id")} <> '' AND {_TRIM.format("keyword")} <> ''),
-tops AS (SELECT DISTINCT c AS node_id FROM (SELECT unnest(children_ids) AS c FROM nodes WHERE node_type = 'ROOT') WHERE c IN (SELECT node_id FROM nodes WHERE node_type IN ('CATEGORY', 'ROOT'))),
-kw AS (SELECT DISTINCT node_id, x FROM (SELECT node_id, unnest(keywords) AS x FROM nodes WHERE node_id IN (SELECT node_id FROM tops)) WHERE x <> ''),
-en AS (SELECT DISTINCT node_id, x FROM (SELECT node_id, unnest(key_entities) AS x FROM nodes WHERE node_id IN (SELECT node_id FROM tops)) WHERE x <> ''),
-hits AS (SELECT doc_id, node_id, x FROM kw JOIN words ON lower(x) = k UNION ALL SELECT DISTINCT doc_id, node_id, lower(x) FROM en JOIN words ON (contains(lower(x), k) AND length(k) >= 2) OR (contains(k, lower(x)) AND length(x) >= 2) OR k = lower(x)),
-total AS (SELECT doc_id, node_id, count(*) AS score FROM hits GROUP BY ALL)
-SELECT doc_id, node_id, score FROM total QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, node_id) = 1
+WITH RECURSIVE words AS MATERIALIZED (SELECT DISTINCT {_TRIM.format("document_id")} AS doc_id, lower({_TRIM.format("keyword")}) AS k FROM keyword_definitions WHERE {_TRIM.format("document_id")} <> '' AND {_TRIM.format("keyword")} <> ''),
+kinds AS (SELECT node_id, min(node_type) AS type FROM nodes GROUP BY node_id),
+inner_ AS MATERIALIZED (SELECT node_id FROM kinds WHERE type IN ('CATEGORY', 'ROOT')),
+lists AS MATERIALIZED (SELECT node_id, list_sort(list_distinct(flatten(list(coalesce(children_ids, []))))) AS children FROM nodes GROUP BY node_id),
+links AS MATERIALIZED (SELECT node_id AS parent, child, pos FROM (SELECT node_id, unnest(list_filter(children, lambda x: x <> '')) AS child, generate_subscripts(list_filter(children, lambda x: x <> ''), 1) AS pos FROM lists) WHERE child IN (FROM inner_)),
+kw AS (SELECT DISTINCT node_id, x FROM (SELECT node_id, unnest(keywords) AS x FROM nodes WHERE node_id IN (FROM inner_)) WHERE x <> ''),
+en AS (SELECT DISTINCT node_id, x FROM (SELECT node_id, unnest(key_entities) AS x FROM nodes WHERE node_id IN (FROM inner_)) WHERE x <> ''),
+each AS MATERIALIZED (SELECT DISTINCT k FROM words),
+met AS MATERIALIZED (SELECT x, k FROM (SELECT DISTINCT lower(x) AS x FROM en) JOIN each ON contains(x, k) OR contains(k, x)),
+hits AS (SELECT doc_id, node_id, x FROM kw JOIN words ON lower(x) = k UNION ALL SELECT DISTINCT doc_id, node_id, en.x FROM en JOIN met ON met.x = lower(en.x) JOIN words USING (k)),
+total AS MATERIALIZED (SELECT doc_id, node_id, count(*) AS score FROM hits GROUP BY ALL),
+walk AS (
+  SELECT DISTINCT doc_id, (SELECT min(node_id) FROM kinds WHERE type = 'ROOT') AS node_id, 0 AS n FROM words
+  UNION ALL
+  SELECT doc_id, child, n + 1 FROM (SELECT w.doc_id, l.child, w.n, row_number() OVER (PARTITION BY w.doc_id ORDER BY t.score DESC, l.pos) AS r FROM walk w JOIN links l ON l.parent = w.node_id JOIN total t ON t.doc_id = w.doc_id AND t.node_id = l.child) WHERE r = 1 AND n < 50
+)
+SELECT doc_id, arg_max(node_id, n) AS node_id FROM walk GROUP BY doc_id
 """
 
 
@@ -262,6 +260,17 @@ def keyword_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", F.posexplode(parsing.keyword_lines(F.concat(F.lit("- Keywords: A,"), F.translate("question", "，,；;\"'", ""), F.lit("\n\n2. '"), F.translate("answer", "，,；;\"'", "；；；；  "), F.lit("'")))).alias("pos", "keyword"))
 
 
+KEYWORD_LINES = r"""
+WITH given AS (SELECT item_id, '- Keywords: A,' || translate(question, '，,；;"''', '') || chr(10) || chr(10) || '2. ''' || translate(answer, '，,；;"''', '；；；；  ') || '''' AS t FROM eval_items),
+lines AS (SELECT item_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT item_id, regexp_split_to_array(t, '\r\n|[\n\x0B\x0C\r\x{85}\x{2028}\x{2029}]') AS l FROM given)),
+bare AS (SELECT item_id, i, trim(translate(regexp_replace(regexp_replace(trim(line), '^([-*•]|\d+[.)、])\s*', ''), '^(关键词|keywords?)\s*[:：]\s*', '', 'i'), '"''', '')) AS b FROM lines),
+words AS (SELECT item_id, i, list_filter(list_transform(regexp_split_to_array(b, '[,，;；]'), lambda x: lower(trim(x))), lambda x: x <> '') AS w FROM bare),
+taken AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM words),
+flat AS (SELECT item_id, flatten(list(w ORDER BY i)) AS w FROM taken WHERE before < 8 GROUP BY item_id)
+SELECT item_id, unnest(w) AS keyword, generate_subscripts(w, 1)::INT - 1 AS pos FROM flat
+"""
+
+
 def navigate_batch(spark: SparkSession, d: str) -> DataFrame:
     """Every question walked down the tree with the offline model, and how many chunks it finds."""
     nodes = stage(_nodes(spark, d))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -87,6 +88,12 @@ def stage(df: DataFrame) -> DataFrame:
     return Stage(df).df
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps, which stay until the driver has collected the objects they belong to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Removes all stages written so far, once no result that builds on them will be evaluated any more.  Done at exit as well."""
     while _written:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tomelattice.errors import StorageError
 
 POINTER = "current.json"
+#: Folders of a table beyond which appending puts them together, and the column that says when a row was written.
+FOLDERS, AT = 32, "_at"
 
 
 class Files:
@@ -59,6 +61,9 @@ class Files:
         array[0] = options.OVERWRITE
         context.rename(temporary, self.path(name), array)
 
+    def size(self, *parts: str) -> int:
+        return self._fs.getContentSummary(self.path(*parts)).getLength()
+
     def delete(self, *parts: str) -> None:
         self._fs.delete(self.path(*parts), True)
 
@@ -99,6 +104,58 @@ class Store:
         self.files.replace(json.dumps({"version": version, "number": number, "tables": tables, "facts": facts}), POINTER)
         return version
 
+    def append(self, rows: dict[str, tuple[DataFrame, list[str] | None]], **facts) -> str:
+        """Adds rows as a new version, which with keys replace older ones of the same keys; work follows the rows, not the tables.
+
+        Tables of more than FOLDERS folders are put together first.
+        """
+        now = self.pointer() or {"number": 0, "tables": {}, "facts": {}}
+        many = {n: keys for n, (_, keys) in rows.items() if len(now["tables"].get(n, [])) >= FOLDERS}
+        if many:
+            self.compact(many)
+        number = F.lit(now["number"] + 1 + bool(many)).cast("long")
+        return self.commit({}, {n: df.withColumn(AT, number) if keys else df for n, (df, keys) in rows.items()}, **(now["facts"] | facts))
+
+    def latest(self, name: str, schema: str, keys: list[str], chosen=None) -> DataFrame:
+        """The newest row of every key of a table that is appended to; chosen, a condition on the keys, reaches the files."""
+        folders = (self.pointer() or {"tables": {}})["tables"].get(name, [])
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        every = self.spark.read.schema(f"{schema}, {AT} long").parquet(*(f"{self.files.root}/{f}" for f in folders)).withColumn(AT, F.coalesce(AT, F.lit(0)))
+        if chosen is not None:
+            every = every.where(chosen)
+        columns = [c for c in every.columns if c != AT]
+        if len(folders) == 1:  # written at once, with every key once
+            return every.select(*columns)
+        return every.groupBy(*keys).agg(F.max_by(F.struct(*columns), AT).alias("_row")).select("_row.*")
+
+    def compact(self, keys: dict[str, list[str] | None] | None = None) -> dict[str, int]:
+        """Writes tables of several folders as one, of keyed ones the newest rows; the number of folders each had.  keys None: all tables, unkeyed."""
+        now = self.pointer()
+        held = {n: f for n, f in (now["tables"] if now else {}).items() if len(f) > 1 and (keys is None or n in keys)}
+        if held:
+            frames = {}
+            for n in held:
+                every = self.spark.read.option("mergeSchema", True).parquet(*(f"{self.files.root}/{f}" for f in held[n]))
+                every = every.withColumn(AT, F.coalesce(AT, F.lit(0))) if AT in every.columns else every
+                by = (keys or {}).get(n)
+                kept = every.groupBy(*by).agg(F.max_by(F.struct(*every.columns), AT).alias("_row")).select("_row.*") if by and AT in every.columns else every
+                frames[n] = kept
+            self.commit(frames, **now["facts"])
+            self.clean()
+        return {n: len(f) for n, f in held.items()}
+
+    def clear(self) -> None:
+        """Forgets all tables."""
+        now = self.pointer() or {"number": 0}
+        self.files.replace(json.dumps({"version": None, "number": now["number"] + 1, "tables": {}, "facts": {}}), POINTER)
+        self.clean()
+
+    def usage(self) -> dict[str, int]:
+        """Bytes of the files of every table."""
+        now = self.pointer()
+        return {n: sum(self.files.size(f) for f in folders) for n, folders in (now["tables"] if now else {}).items()}
+
     def table(self, name: str, schema: str) -> DataFrame:
         """A table of the committed version; an empty one of the schema if there is none."""
         now = self.pointer()
