@@ -146,8 +146,53 @@ FROM counted JOIN sizes USING (src)
 """
 
 
+# Token lists.  The tables' letters are composed, so that NFC and the ASCII forms of full-width characters are all that NFKC does to them.
+_WIDE = "".join(chr(c) for c in range(0xFF10, 0xFF1A)) + "".join(chr(c) for c in range(0xFF21, 0xFF3B)) + "".join(chr(c) for c in range(0xFF41, 0xFF5B))
+_TOKENS = r"regexp_extract_all(regexp_replace(lower(translate(nfc_normalize({}), '" + _WIDE + r"', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')), '([\x{{4e00}}-\x{{9fff}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+_SHINGLES = """
+runs AS (SELECT ref, i, n, list(t) OVER (PARTITION BY ref ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS r FROM (SELECT ref, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS n FROM tokens WHERE len(w) >= 20)),
+shingles AS MATERIALIZED (SELECT DISTINCT ref, hash(r) AS s FROM runs WHERE i <= n - 4),
+sizes AS MATERIALIZED (SELECT ref, count(*) AS n FROM shingles GROUP BY ref)
+"""
+_P4 = f"""
+WITH docs AS MATERIALIZED (
+  SELECT ref, md5, text, row_number() OVER (ORDER BY kind, batch_no NULLS LAST, ordinal NULLS LAST, tie) AS place, kind FROM (
+    SELECT id AS ref, 0 AS kind, batch_no, 0 AS ordinal, id AS tie, md5, content AS text FROM kb_documents
+    UNION ALL SELECT doc_id, 1, batch_no, ordinal, '', md5, content FROM pending_documents LEFT JOIN text_files ON file_path = original_path)
+),
+tokens AS MATERIALIZED (SELECT ref, {_TOKENS.format("text")} AS w FROM docs WHERE text IS NOT NULL),
+{_SHINGLES},
+sums AS MATERIALIZED (SELECT ref, place, kind, lower(regexp_replace(md5, '^\\s+|\\s+$', '', 'g')) AS md5 FROM docs LEFT JOIN tokens USING (ref) WHERE text IS NULL OR len(w) >= 20),
+by_md5 AS (SELECT b.ref, a.ref AS other, a.place FROM sums b JOIN sums a USING (md5) WHERE b.kind = 1 AND a.place < b.place AND regexp_full_match(md5, '[0-9a-f]{{32}}')),
+common AS (SELECT x.ref AS ref, y.ref AS other, count(*) AS c FROM shingles x JOIN shingles y USING (s) WHERE x.ref IN (SELECT ref FROM docs WHERE kind = 1) AND x.ref <> y.ref GROUP BY ALL),
+by_text AS (SELECT c.ref, other, b.place FROM common c JOIN sizes p ON p.ref = c.ref JOIN sizes q ON q.ref = other JOIN docs a ON a.ref = c.ref JOIN docs b ON b.ref = other WHERE b.place < a.place AND c.c >= 0.6 * (p.n + q.n - c.c) - 1e-9)
+SELECT ref AS doc_id, arg_min(other, place) AS match_id FROM (FROM by_md5 UNION ALL FROM by_text) GROUP BY ref
+"""
+_P6 = f"""
+WITH tokens AS MATERIALIZED (SELECT id AS ref, {_TOKENS.format("content")} AS w FROM kb_documents WHERE content IS NOT NULL),
+{_SHINGLES},
+common AS (SELECT x.ref AS a, y.ref AS b, count(*) AS c FROM shingles x JOIN shingles y USING (s) WHERE x.ref < y.ref GROUP BY ALL)
+SELECT a AS id_a, b AS id_b FROM common JOIN sizes p ON p.ref = a JOIN sizes q ON q.ref = b WHERE c >= 0.6 * (p.n + q.n - c) - 1e-9
+"""
+_RUNS = "SELECT {0}, hash(r) AS h FROM (SELECT {0}, i, n, list(t) OVER (PARTITION BY {0} ORDER BY i ROWS BETWEEN CURRENT ROW AND {2} FOLLOWING) AS r FROM (SELECT {0}, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS n FROM {1})) WHERE i <= n - {2}"
+_P8 = f"""
+WITH items AS (SELECT item_id, {_TOKENS.format("item_text")} AS w FROM eval_items), docs AS (SELECT doc_id, {_TOKENS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+windows AS MATERIALIZED (SELECT DISTINCT item_id, h FROM ({_RUNS.format("item_id", "items", 19)})),
+parts AS ({_RUNS.format("doc_id", "docs", 19)})
+SELECT DISTINCT doc_id, item_id FROM parts JOIN windows USING (h)
+"""
+_P9 = f"""
+WITH docs AS (SELECT doc_id, {_TOKENS.format("text")} AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id FROM ({_RUNS.format("doc_id", "docs", 7)}) GROUP BY doc_id HAVING count(*) >= 33 AND 1 - count(DISTINCT h) / count(*) >= 0.3 - 1e-9
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _P4,
+        "p6_found": _P6,
+        "p8_found": _P8,
+        "p9_found": _P9,
         "p3_found": _P3,
         "p5_frequencies": _P5,
         "p5_found": f"SELECT src, keyword, mark FROM ({_P5}) WHERE mark IS NOT NULL",

@@ -195,8 +195,8 @@ def _verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
 def overlaps(pairs: DataFrame, sets: DataFrame, ref_type: str, count: int) -> DataFrame:
     """Exact overlaps of candidate pairs.
 
-    pairs (a, b), a written table of count rows, refer to sets (ref, least, elements), a written
-    table with unique ref; the result has a, b, common, size_a and size_b, in shingles.  Pairs whose
+    pairs (a, b), a written table of count rows, refer to sets (ref, least, elements) with unique
+    ref, of no others than the pairs' refs, which are read twice; the result has a, b, common, size_a and size_b, in shingles.  Pairs whose
     ref has no set are left out.
     """
     cells = max(1, count // GROUP)
@@ -209,10 +209,10 @@ def overlaps(pairs: DataFrame, sets: DataFrame, ref_type: str, count: int) -> Da
         blocks = stage(sets.select("ref", "least").join(groups, "least").select("ref", block.alias("block")))
         placed = stage(
             pairs.select("a", "b")
-            .join(blocks.select(F.col("ref").alias("a"), F.col("block").alias("x")), "a")
-            .join(blocks.select(F.col("ref").alias("b"), F.col("block").alias("y")), "b")
+            .join(few(blocks.select(F.col("ref").alias("a"), F.col("block").alias("x")), 2 * count), "a")
+            .join(few(blocks.select(F.col("ref").alias("b"), F.col("block").alias("y")), 2 * count), "b")
             .select("a", "b", F.pmod(F.xxhash64("x", "y"), F.lit(cells)).alias("cell"))
         )
         needed = placed.select("cell", F.col("a").alias("ref")).union(placed.select("cell", "b")).distinct()
-        shipped = needed.join(sets, "ref").select(F.col("cell").alias("at"), "ref", "least", "elements")
+        shipped = sets.join(few(needed, 2 * count), "ref").select(F.col("cell").alias("at"), "ref", "least", "elements")
     return placed.groupBy("cell").cogroup(shipped.groupBy("at")).applyInArrow(_verify, f"a {ref_type}, b {ref_type}, common long, size_a long, size_b long")
