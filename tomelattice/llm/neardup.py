@@ -29,6 +29,8 @@ from tomelattice.session import Stage, stage
 
 #: Index entries to a task, pairs expanded at once, and pairs a task holds, about; rows of a class to a run.
 ENTRIES, PAIRS, HELD, RUN = 1_000_000, 2_000_000, 4_000_000, 1000
+#: Of the elements that two similar sets have in common the share whose entries are counted.
+EXTRA = 0.08
 
 
 def _rows(part: np.ndarray, element: np.ndarray, rest: np.ndarray, doc: np.ndarray, cls: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
@@ -47,7 +49,8 @@ def _rows(part: np.ndarray, element: np.ndarray, rest: np.ndarray, doc: np.ndarr
 def prefixes(n: np.ndarray, values: np.ndarray, at: np.ndarray, level: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries (element, rest, set) of the prefixes, in the global order of frequency and hash, of the sets with BLANK tokens or more.
 
-    rest is the number of elements from the entry's on, by that order.
+    rest is the number of elements from the entry's on, by that order; prefixes reach as far as a
+    common element can be the first with any set of the threshold.
     """
     owner = np.repeat(np.arange(len(n)), np.diff(at))
     good = (n >= BLANK)[owner]
@@ -92,15 +95,32 @@ def _indexer(level, threshold: float, parts: int):
     return index
 
 
-def join_lists(element: np.ndarray, owner: np.ndarray, rest: np.ndarray, size: np.ndarray, n: int, threshold: float) -> Iterator[np.ndarray]:
-    """Pairs of owners, as low * n + high, with a common element after which both have enough of their sets left.
+def needed(a: np.ndarray, b: np.ndarray, t: np.ndarray | float, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rest, hits) for sets of sizes a and b: how much of both sets has to be left at an entry that counts, and how many such entries are common.
 
-    Entries are parallel arrays; owners are numbers below n.  Sets of sizes a and b of the threshold
-    have alpha = t / (1 + t) * (a + b) elements in common, so that the first of those has a rest of
-    at least alpha in both.  Lists are in the order of size: an entry's partners that are no smaller
-    end where its size, or its place in its set, forbids more, and only those are visited.  A pair
-    may come several times; no more than about HELD are held at once.
+    Sets of the threshold have alpha = t / (1 + t) * (a + b) elements in common, in one global order.
+    The first EXTRA of those lie where both have at least alpha - EXTRA + 1 elements left; where
+    that is beyond what is indexed (own and other), accordingly fewer.
     """
+    alpha = np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
+    rest = np.maximum(np.maximum(alpha - np.maximum((EXTRA * alpha).astype(np.int64), 1) + 1, own), other)
+    return rest, alpha - rest + 1
+
+
+def indexed(size: np.ndarray, t: np.ndarray | float) -> np.ndarray:
+    """Elements left at the last entry of a prefix."""
+    return np.ceil(t * size - 1e-9).astype(np.int64)
+
+
+def join_lists(element: np.ndarray, owner: np.ndarray, rest: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of owners, as low * len(sizes) + high, and how many elements they have in common where both have enough left.
+
+    Entries are parallel arrays; owners number the sets, whose sizes are given.  Lists are in the
+    order of size: an entry's partners that are no smaller end where its size, or its place in its
+    set, forbids more, and only those are visited.  A pair may come several times, its numbers to be
+    added; no more than about HELD are held at once.
+    """
+    n, size = len(sizes), sizes[owner]
     order = np.lexsort((owner, size, element))
     element, owner, rest, size = element[order], owner[order], rest[order], size[order]
     keep = np.ones(len(element), bool)  # equal sets count once in a list
@@ -110,30 +130,36 @@ def join_lists(element: np.ndarray, owner: np.ndarray, rest: np.ndarray, size: n
     fresh[1:] = element[1:] != element[:-1]
     lists = np.cumsum(fresh).astype(np.int64) - 1
     key = lists << 32 | size
-    largest = np.floor(np.minimum(size / threshold, rest * (1 + threshold) / threshold - size) + 1e-9).astype(np.int64)
+    largest = np.floor(np.minimum(size / threshold, rest * (1 + threshold) / threshold / (1 - EXTRA) - size) + 1e-9).astype(np.int64)
     end = np.searchsorted(key, lists << 32 | np.maximum(largest, 0), "right")
     count = np.maximum(end - np.arange(len(key)) - 1, 0)
     total = np.concatenate([[0], np.cumsum(count)])
-    found: list[np.ndarray] = []
+    edge = indexed(size, threshold)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     begin = held = 0
     while begin < len(key):
         stop = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS, "right")) - 1)
         c = count[begin:stop]
         left = np.repeat(np.arange(begin, stop), c)
         right = left + 1 + np.arange(c.sum()) - np.repeat(total[begin:stop] - total[begin], c)
-        ok = np.minimum(rest[left], rest[right]) >= np.ceil(threshold / (1 + threshold) * (size[left] + size[right]) - 1e-9)
+        ok = np.minimum(rest[left], rest[right]) >= needed(size[left], size[right], threshold, edge[left], edge[right])[0]
         a, b = owner[left[ok]], owner[right[ok]]
-        found.append(np.unique(np.minimum(a, b) * n + np.maximum(a, b)))
-        held += len(found[-1])
+        found.append(np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_counts=True))
+        held += len(found[-1][0])
         if held > HELD:
-            found = [np.unique(np.concatenate(found))]
-            held = len(found[0])
+            found = [_add(found)]
+            held = len(found[0][0])
             if held > HELD / 2:
                 yield found.pop()
                 held = 0
         begin = stop
     if found:
-        yield np.unique(np.concatenate(found))
+        yield _add(found)
+
+
+def _add(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
 
 
 def _joiner(threshold: float):
@@ -142,10 +168,15 @@ def _joiner(threshold: float):
         for batch in batches:
             for k, c in cols.items():
                 c += batch.column(k).to_pylist()
-        rest, counts, size = (np.concatenate([np.frombuffer(x, np.uint32) for x in cols[k]]).astype(np.int64) for k in ("rests", "counts", "sizes"))
+        rest, counts = (np.concatenate([np.frombuffer(x, np.uint32) for x in cols[k]]).astype(np.int64) for k in ("rests", "counts"))
         classes, back = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in cols["classes"]]), return_inverse=True)
-        for keys in join_lists(unpack(b"".join(cols["elements"])), np.repeat(back, counts), rest, np.repeat(size, counts), len(classes), threshold):
-            yield pa.record_batch([pa.array(classes[keys // len(classes)]), pa.array(classes[keys % len(classes)])], ["a", "b"])
+        sizes = np.zeros(len(classes), np.int64)
+        sizes[back] = np.concatenate([np.frombuffer(x, np.uint32) for x in cols["sizes"]])
+        edge = indexed(sizes, threshold)
+        for keys, hits in join_lists(unpack(b"".join(cols["elements"])), np.repeat(back, counts), rest, sizes, threshold):
+            a, b = keys // len(classes), keys % len(classes)
+            need = needed(sizes[a], sizes[b], threshold, edge[a], edge[b])[1]
+            yield pa.record_batch([pa.array(x) for x in (classes[a], classes[b], need, hits)], ["a", "b", "need", "hits"])
 
     return join
 
@@ -165,7 +196,8 @@ def near_duplicates(docs: DataFrame, ref: str, text: str, threshold: float = 0.8
     entries = classes.agg(F.sum("size")).first()[0] or 0
     parts = int(entries * (1 - threshold) / ENTRIES) + 1
     index = texts.mapInArrow(_indexer(spark.sparkContext.broadcast(level), threshold, parts), "part long, elements binary, rests binary, counts binary, classes binary, sizes binary")
-    candidates = stage(index.groupBy("part").applyInArrow(_joiner(threshold), "a long, b long").distinct())
+    hits = index.groupBy("part").applyInArrow(_joiner(threshold), "a long, b long, need long, hits long")
+    candidates = stage(hits.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("hits").alias("hits")).where("hits >= need").select("a", "b"))
     shown = classes.groupBy("cls").agg(F.min("ref").alias("shown"))
     used = candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()
     shown = stage(shown.join(used, "cls", "left_semi"))
