@@ -1,27 +1,35 @@
 """Knowledge bases end to end, stores, sources, streams, hooks and model wrappers."""
 
+import http.server
 import io
 import json
 import logging
+import re
 import sys
+import threading
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from tomelattice import schema
 from tomelattice.engine import Engine, Settings
 from tomelattice.errors import KnowledgeBaseError, StorageError
-from tomelattice.hooks import Hooks, logging_hook
-from tomelattice.model.provider import MARK, CachedProvider, OfflineProvider, RateLimitedProvider, Response, ScriptedProvider, SlotProvider, composed
+from tomelattice.functions.parsing import json_text
+from tomelattice.hooks import TYPES, Hooks, logging_hook
+from tomelattice.model.provider import MARK, CachedProvider, HttpProvider, OfflineProvider, RateLimitedProvider, Response, ScriptedProvider, SharedWindow, SlotProvider, composed
 from tomelattice.operators.comprehend import understand
 from tomelattice.operators.prompts import CACHE_LIMITS
+from tomelattice.registry import CHUNK_STORE, DICTIONARY_STORE, Registry
 from tomelattice.sources import charset, docx, files
 from tomelattice.store import Store
 from tomelattice.streaming.ingest import ingest_stream, table_stream
 from tomelattice.streaming.limits import rate_limited_stream
 
 
+_CHUNK_COLUMNS = re.split(r", (?=\w+ )(?![^<]*>)", schema.CHUNKS)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't know this file
 
 
@@ -160,6 +168,127 @@ def test_understand():
     assert understand(SlotProvider(heavy=ScriptedProvider(lambda p, k: 1 / 0)), "x")["error"]
 
 
+def test_answers_are_kept(spark, tmp_path):
+    """Texts that were understood before are not asked again, nor are equal prompts; small batches write little."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(prompt, kind):
+        calls.add(1)
+        return scripted(prompt, kind)
+
+    hooks, seen = Hooks(), []
+    for kind in TYPES:
+        hooks.register(kind, lambda e: seen.append(e.type))
+    engine = Engine(spark, f"file://{tmp_path}/root", ScriptedProvider(counting), Settings(concurrent=2), hooks)
+    kb = engine.get()
+    docs = lambda *names: spark.createDataFrame([(n, n, f"# {n}\nthe words of {n}") for n in names], "id string, title string, content string")
+    kb.ingest(docs(*(f"alpha{i:03d}" for i in range(60))))
+    first = calls.value
+    assert first > 0
+    before = {n: len(f) for n, f in kb.store.pointer()["tables"].items()}
+    report = kb.ingest(docs("alpha001", "gamma1", "poison"))
+    assert {r.title: (r.success, r.skipped) for r in report.collect()} == {"alpha001": (True, True), "gamma1": (True, False), "poison": (False, False)}
+    tables = kb.store.pointer()["tables"]
+    assert all(len(tables[n]) == before[n] + 1 for n in ("nodes", "links", "held", "postings", "documents"))
+    assert spark.read.parquet(f"file://{tmp_path}/root/default/{tables['nodes'][-1]}").count() <= 4 and kb.table("nodes").count() >= 61
+    assert kb.table("nodes").count() == kb.table("nodes").select("node_id").distinct().count()
+    calls.value = 0
+    kb.rebuild(docs(*(f"alpha{i:03d}" for i in range(60))))
+    assert calls.value == 0
+    cache = engine.cache()
+    assert cache.statistics()["COMPREHEND_CHUNK"]["hits"] >= 60 and "COMPREHEND_CHUNK: " in cache.text() and cache.sizes()["COMPREHEND_CHUNK"] == 61
+    cache.log()
+    cache.warm("EXTRACT_QUERY_KEYWORDS", {"q": "alpha"})
+    assert cache.sizes()["EXTRACT_QUERY_KEYWORDS"] == 1
+    cache.clear("EXTRACT_QUERY_KEYWORDS")
+    cache.trim()
+    assert "EXTRACT_QUERY_KEYWORDS" not in cache.sizes()
+    cache.reconfigure(None)
+    assert not cache.keeps("COMPREHEND_CHUNK")
+    cache.reset()
+    assert cache.statistics() == {}
+    kb.search("alpha")
+    assert set(seen) == set(TYPES) - {"CONTENT_READ"} and "NAVIGATION_STEP" in seen
+    assert kb.chunk_exists(kb.chunk_ids().first()[0]) and not kb.chunk_exists("none") and kb.healthy()
+    assert kb.contains_value("documents", "title", "alpha003") and not kb.contains_value("documents", "title", "gamma1")
+    copied = kb.copy_sources(f"file://{tmp_path}/copies").collect()
+    assert len(copied) == 60 and all(len(open(r.path, "rb").read()) == r.bytes > 0 for r in copied) and kb.usage()["texts"] > 0
+    kb.clear()
+    assert kb.table("documents").count() == 0 and kb.tree().root is None
+
+
+def test_limit_of_all_workers(spark):
+    """Calls of several workers take turns given out in one place."""
+    window = SharedWindow(3, 1000.0)
+    provider = RateLimitedProvider(ScriptedProvider(lambda p, k: "x"), window=window, sleep=None)
+
+    def turns(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([provider.window.delay() for _ in range(b.num_rows)])], ["wait"])
+
+    waits = sorted(r.wait for r in spark.range(6).repartition(3).select("id").mapInArrow(turns, "wait double").collect())
+    window.close()
+    assert waits[:3] == [0, 0, 0] and all(900 < w <= 1000 for w in waits[3:])
+
+
+def test_http_provider():
+    class Model(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"choices": [{"message": {"content": asked["messages"][0]["content"].upper()}}], "usage": {"prompt_tokens": 3, "completion_tokens": 2}}).encode()
+            self.send_response(200 if asked["model"] == "m" else 500)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    good = HttpProvider(url, "m").chat("hi", "ANSWER_QUESTION")
+    assert (good.content, good.input_tokens, good.output_tokens, good.success) == ("HI", 3, 2, True)
+    assert not HttpProvider(url, "other").chat("hi", "ANSWER_QUESTION").success
+    server.shutdown()
+    assert not HttpProvider(url, "m", timeout=1).chat("hi", "ANSWER_QUESTION").success
+
+
+def test_stores_by_kind(spark, tmp_path):
+    stores = Registry()
+    own = stores.find(CHUNK_STORE, spark, f"file://{tmp_path}/chunks")
+    with pytest.raises(StorageError):
+        own.ids()
+    own.open(), own.open()
+    row = lambda i, s: spark.createDataFrame([(i, s)], "chunk_id string, summary string").selectExpr(*(c.split()[0] if c.split()[0] in ("chunk_id", "summary") else f"cast(null as {c.split(' ', 1)[1]}) as {c.split()[0]}" for c in _CHUNK_COLUMNS))
+    text = lambda i, t: spark.createDataFrame([(i, t)], schema.CHUNK_CONTENT)
+    own.save(row("a", "1"), text("a", "x"))
+    own.save(row("a", "2"), text("a", "xyz"))
+    own.save(row("b", "3"), text("b", None))
+    assert {r.chunk_id: r.summary for r in own.chunks().collect()} == {"a": "2", "b": "3"} and own.contents(["a"]).first().content == "xyz"
+    assert own.exists("b") and not own.exists("c") and own.usage() == "2 chunks, 3 bytes"
+    assert own.store.compact({"chunks": ["chunk_id"]}) == {"chunks": 3} and own.chunks().count() == 2
+    own.delete(["a"])
+    assert [r.chunk_id for r in own.ids().collect()] == ["b"] and own.healthy()
+    own.clear()
+    assert own.ids().count() == 0
+    own.close()
+    assert not own.healthy()
+    words = stores.find(DICTIONARY_STORE, spark, f"file://{tmp_path}/words")
+    words.open()
+    words.save(spark.createDataFrame([], schema.DEFINITIONS), spark.createDataFrame([("k", "n", 0)], schema.POSTINGS))
+    assert words.postings([" K "]).count() == 1 and words.definitions().count() == 0
+    stores.register(CHUNK_STORE, "late", lambda: "late", 200)
+    stores.register(CHUNK_STORE, "first", lambda: "first", 1)
+    assert stores.names(CHUNK_STORE) == ["first", "folder", "late"] and stores.find(CHUNK_STORE) == "first" and stores.find(CHUNK_STORE, name="late") == "late"
+    with pytest.raises(StorageError):
+        stores.find("nothing")
+
+
+def test_json_text(spark):
+    row = spark.sql("select named_struct('a', 1, 'b', null) as s, array('x', null) as l, 'q\"' as t, cast(null as string) as n").select(*(json_text(c).alias(c) for c in "sltn")).first()
+    assert json.loads(row.s) == {"a": 1, "b": None} and json.loads(row.l) == ["x", None] and json.loads(row.t) == 'q"' and row.n is None
+
+
 def test_wrappers():
     asked = []
 

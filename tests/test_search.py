@@ -1,8 +1,10 @@
 """The keyword index and walks down the tree."""
 
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tomelattice import schema
 from tomelattice.model.provider import MARK, OfflineProvider, ScriptedProvider
@@ -153,6 +155,27 @@ def test_build(spark):
     assert shape(trees.build(*docs_of(spark, [(c, f"s{c}", []) for c in "abcd"]), ScriptedProvider(lambda p, k: "broken"))) == ("Root", ("类别 1", "sa", "sb"), "sc", "sd")
 
 
+def test_large_groups_are_clustered_by_the_model(spark, monkeypatch):
+    """A thousand documents fall into the model's clusters, though no prompt holds them all; a category of 300 is described by all of them."""
+    rows = spark.range(1000).selectExpr("'g' as `group`", "lpad(cast(id as string), 4, '0') as doc_id", "id as ordinal", "concat('topic', id % 7) as summary")
+
+    def model(prompt, kind):
+        groups: dict = {}
+        for i, topic in re.findall(r"^\[(\d+)\].*?topic(\d)", prompt, re.M):
+            groups.setdefault(topic, []).append(int(i))
+        return json.dumps({"clusters": [{"name": f"T{t}", "chunkIndices": x} for t, x in groups.items()]})
+
+    got = trees.clusters_of(rows, ScriptedProvider(model)).collect()
+    assert len(got) == 1000 and len({r.cluster for r in got}) == 7
+    assert all(r.cluster_name == f"T{int(r.doc_id) % 7}" for r in got)
+    one_each = trees.clusters_of(rows, ScriptedProvider(lambda p, k: json.dumps({"clusters": [{"name": str(i), "chunkIndices": [i]} for i in range(200)]}))).collect()
+    assert len(one_each) == 1000 and {r.cluster_name for r in one_each} == {"类别 1", "类别 2", "类别 3"}
+    few = rows.where("ordinal < 300")
+    docs = few.select("doc_id", F.concat(F.lit("word"), "doc_id").alias("summary"))
+    said = trees.described(few, docs, ScriptedProvider(lambda p, k: json.dumps(re.findall(r"word\d+", p) if k == "EXTRACT_KEYWORDS" else []))).first()
+    assert len(said.keywords) == 300
+
+
 def test_attach(spark):
     def model(prompt, kind):
         if kind == "CLUSTER_DOCUMENTS":

@@ -61,9 +61,9 @@ def lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """
     cut = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.split(F.col(text), "\n").alias("_lines"))
     cut = cut.withColumn("_fences", _fenced(F.col("_lines")))
-    each = cut.select("doc", "_fences", F.posexplode("_lines").alias("line_no", "_line"))
-    inside = F.exists("_fences", lambda f: (F.col("line_no") >= f["first"]) & (F.col("line_no") <= f["last"]))
-    flat = each.select("doc", "line_no", F.length("_line").alias("chars"), (~is_blank("_line")).alias("written"), F.when(~inside, heading("_line")).alias("_h"))
+    marked = F.transform("_lines", lambda x, i: F.struct(x.alias("line"), F.exists("_fences", lambda f: (i >= f["first"]) & (i <= f["last"])).alias("inside")))
+    each = cut.select("doc", F.posexplode(marked).alias("line_no", "_x"))
+    flat = each.select("doc", "line_no", F.length("_x.line").alias("chars"), (~is_blank(F.col("_x.line"))).alias("written"), F.when(~F.col("_x.inside"), heading(F.col("_x.line"))).alias("_h"))
     start = F.coalesce(F.sum(F.col("chars").cast("long") + 1).over(Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one document's lines
     return flat.select("doc", "line_no", start.alias("start"), "chars", "written", F.col("_h.level").alias("level"), F.col("_h.title").alias("title"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tomelattice import schema
 from tomelattice.functions import text as X
 from tomelattice.operators import dedupe, prompts, ranking, sections
+from tomelattice.sources import charset
 from tomelattice.store import used_bytes
 
 
@@ -128,7 +129,7 @@ cuts AS (
 ),
 named AS (SELECT doc_id, sec, max(level) AS level, max(title) FILTER (level IS NOT NULL) AS title, max(max(sec)) OVER (PARTITION BY doc_id) AS secs FROM units GROUP BY doc_id, sec),
 spans AS (
-  SELECT doc_id, coalesce(named.title, CASE WHEN secs = 0 OR n > 1 THEN '正文' ELSE '前言' END) || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END AS title, coalesce(level, 0) AS level, cut_at AS start,
+  SELECT doc_id, CASE WHEN sec = 0 AND secs > 0 AND n = max(n) OVER (PARTITION BY doc_id, sec) THEN '前言' ELSE coalesce(named.title, '正文') || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END END AS title, coalesce(level, 0) AS level, cut_at AS start,
     coalesce(lead(cut_at) OVER (PARTITION BY doc_id ORDER BY cut_at, n), length(content)) AS stop, content
   FROM cuts JOIN named USING (doc_id, sec) JOIN kb_documents ON id = doc_id
 ),
@@ -186,6 +187,20 @@ FROM section_refs JOIN kb_documents ON id = doc_id WHERE byte_length > 0 AND con
 """
 
 
+def charsets(spark: SparkSession, d: str) -> DataFrame:
+    """text_files as bytes, half of them UTF-8 and half UTF-16 with a mark, and what is found and read from them."""
+    rows = table(spark, d, "text_files").where("content is not null")
+    raw = F.when(F.length("content") % 2 == 0, F.encode("content", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode("content", "UTF-16BE")))
+    each = rows.select("file_path", charset.decoded(raw).alias("x"), charset.detected(raw).alias("detected"))
+    return each.select("file_path", "detected", F.col("x.charset").alias("charset"), F.md5("x.text").alias("md5"))
+
+
+CHARSETS = """
+SELECT file_path, name AS detected, name AS charset, md5(CASE WHEN name = 'UTF-8' THEN content ELSE chr(65279) || content END) AS md5
+FROM (SELECT *, CASE WHEN length(content) % 2 = 0 THEN 'UTF-8' ELSE 'UTF-16BE' END AS name FROM text_files WHERE content IS NOT NULL)
+"""
+
+
 def file_names(spark: SparkSession, d: str) -> DataFrame:
     """Base names, safe names and budgets of kb_documents."""
     rows = table(spark, d, "kb_documents")
@@ -327,11 +342,12 @@ def _titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Names of nodes that count as the same prompt, one row of each name."""
-    names = table(spark, d, "nodes").groupBy(F.col("node_name").alias("prompt")).agg(F.min("node_id").alias("id"))
+    """Descriptions of parts that count as the same prompt, one row of each description."""
+    names = table(spark, d, "part").groupBy(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("prompt")).agg(F.min("p_partkey").alias("id"))
     return prompts.alike(names).select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
 
 
+# Edit distances of bytes, as SQL has them, are those of characters in ASCII texts.
 _ALIKE = r"""
 SELECT id, trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')) AS p FROM prompts WHERE prompt IS NOT NULL AND id IS NOT NULL),
 texts AS MATERIALIZED (SELECT p, length(p) AS n, min(id) AS first FROM rows GROUP BY p),
@@ -339,7 +355,7 @@ near AS (SELECT a.p, b.p AS q, 1 - levenshtein(a.p, b.p) / greatest(a.n, b.n) AS
 pairs AS (SELECT x.id AS u, y.id AS v, similarity FROM near JOIN rows x ON x.p = near.p JOIN rows y ON y.p = near.q WHERE similarity >= 0.85 - 1e-12 UNION ALL SELECT first, id, 1.0 FROM rows JOIN texts USING (p) WHERE id <> first)
 SELECT least(u, v) AS id_a, greatest(u, v) AS id_b, round(similarity, 9) AS similarity FROM pairs
 """
-PROMPT_SIMILARITY = f"WITH prompts AS (SELECT node_name AS prompt, min(node_id) AS id FROM nodes GROUP BY node_name), rows AS MATERIALIZED ({_ALIKE}"
+PROMPT_SIMILARITY = f"WITH prompts AS (SELECT p_name || ' ' || p_brand || ' ' || p_type AS prompt, min(p_partkey) AS id FROM part GROUP BY ALL), rows AS MATERIALIZED ({_ALIKE}"
 
 
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -347,9 +363,6 @@ def title_similarity(spark: SparkSession, d: str) -> DataFrame:
     return prompts.alike(_titles(spark, d).withColumnRenamed("title", "prompt")).select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
 
 
-TITLE_SIMILARITY = f"WITH prompts AS (SELECT id, title AS prompt FROM kb_documents UNION ALL SELECT doc_id, title FROM pending_documents), rows AS MATERIALIZED ({_ALIKE}"
-
-
 def rate_limit_replay(spark: SparkSession, d: str) -> DataFrame:
     """Events admitted with five an hour for each kind."""
     return prompts.rate_limited(table(spark, d, "events"), "event_type", "ts", "event_id", 5, 3600.0)
@@ -378,7 +391,7 @@ LATEST_EVENTS = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type,
 QUERIES = {
     f: globals().get(f.__name__.upper())
     for f in (
-        doc_md5_dedup, ingest_report, document_faults, lines_with_offsets, headings, sections_by_heading, fixed_windows, line_sections, prompt_windows, document_chunks, section_bytes, file_names, rollup_doc_summary, default_clusters,
+        doc_md5_dedup, ingest_report, document_faults, lines_with_offsets, headings, sections_by_heading, fixed_windows, line_sections, prompt_windows, document_chunks, section_bytes, charsets, file_names, rollup_doc_summary, default_clusters,
         shard_assignment, orphans, overlay, storage_usage, usage_stats, cache_keys, cache_stats, cache_misses, prompt_similarity, title_similarity, rate_limit_replay, latest_events,
     )
 }

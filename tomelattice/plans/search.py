@@ -10,6 +10,7 @@ from tomelattice.functions import parsing
 from tomelattice.model.provider import OfflineProvider
 from tomelattice.operators import index, navigate as nav
 from tomelattice.operators import tree as trees
+from tomelattice.operators.ranking import ranked
 from tomelattice.plans.documents import table
 from tomelattice.session import shared_dir, stage
 from tomelattice.streaming.ingest import distinct_stream, table_stream
@@ -279,6 +280,32 @@ def navigate_batch(spark: SparkSession, d: str) -> DataFrame:
     return log.join(found.groupBy("query_id").agg(F.count("*").alias("chunks")), "query_id", "left").fillna(0, ["chunks"])
 
 
+def walks_by_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """Every question walked without a model: where its keywords lead, or the keyword search where that is no end; and how many chunks it finds."""
+    nodes = stage(_nodes(spark, d))
+    root = nodes.where("type = 'ROOT'").agg(F.min("node_id")).first()[0]
+    found, log = nav.navigate(_questions(spark, d), nodes, root or "", _entries(spark, d), _weights(spark, d))
+    return log.join(found.groupBy("query_id").agg(F.count("*").alias("chunks")), "query_id", "left").fillna(0, ["chunks"])
+
+
+WALKS_BY_KEYWORDS = f"""
+WITH RECURSIVE {_MATCHED},
+edges AS MATERIALIZED (SELECT DISTINCT node_id AS a, b FROM (SELECT node_id, unnest(children_ids) AS b FROM nodes) WHERE b IN (SELECT node_id FROM nodes)),
+best AS (SELECT query_id, node_id FROM scored JOIN kinds USING (node_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, type = 'LEAF' DESC, node_id) = 1),
+starts AS MATERIALIZED (SELECT item_id AS query_id, coalesce(best.node_id, (SELECT min(node_id) FROM kinds WHERE type = 'ROOT')) AS node_id FROM eval_items LEFT JOIN best ON query_id = item_id),
+walks AS MATERIALIZED (SELECT query_id, node_id, node_id IN (SELECT a FROM edges JOIN kinds ON a = node_id WHERE type <> 'LEAF') AS inner_ FROM starts),
+full_ AS (SELECT DISTINCT node_id FROM (SELECT node_id, unnest(chunk_ids) AS c FROM nodes) WHERE c <> ''),
+back AS (SELECT query_id, arg_min(node_id, rank) AS node_id FROM ({_TOP}) WHERE node_id IN (FROM full_) GROUP BY query_id),
+ends AS MATERIALIZED (SELECT query_id, node_id FROM walks WHERE NOT inner_ UNION ALL SELECT query_id, back.node_id FROM walks JOIN back USING (query_id) WHERE inner_),
+below AS (SELECT DISTINCT node_id AS top, node_id FROM ends UNION SELECT top, b FROM below JOIN edges ON a = node_id),
+held AS MATERIALIZED (SELECT DISTINCT node_id, chunk_id FROM (SELECT node_id, unnest(chunk_ids) AS chunk_id FROM nodes) WHERE chunk_id <> ''),
+leaves AS (SELECT top, count(*) AS n FROM below JOIN held USING (node_id) WHERE node_id IN (SELECT node_id FROM nodes WHERE node_type = 'LEAF') GROUP BY top),
+own AS (SELECT node_id AS top, count(*) AS n FROM held GROUP BY ALL)
+SELECT query_id, CASE WHEN inner_ THEN 'fallback' ELSE 'arrived' END AS outcome, w.node_id AS path, CASE WHEN inner_ THEN 1 ELSE 0 END AS steps, NULL::VARCHAR AS error, coalesce(leaves.n, own.n, 0) AS chunks
+FROM walks w LEFT JOIN ends USING (query_id) LEFT JOIN leaves ON leaves.top = ends.node_id LEFT JOIN own ON own.top = ends.node_id
+"""
+
+
 def _inputs(rows: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents and chapters of a tree: one chapter each, keywords from definitions."""
     kw = schema.valid_definitions(words).groupBy(F.col("document_id").alias("doc_id")).agg(F.sort_array(F.collect_set("normalized")).alias("keywords"))
@@ -290,13 +317,36 @@ def _inputs(rows: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
 def tree_build(spark: SparkSession, d: str) -> DataFrame:
     """A tree over kb_documents with the offline model: its nodes with parent and place."""
     kb = table(spark, d, "kb_documents").select(F.col("id").alias("doc_id"), F.col("id").alias("ordinal_text"), "title")
-    from tomelattice.operators.ranking import ranked
-
     docs, chapters = _inputs(ranked(kb, [], ["ordinal_text"], "ordinal"), table(spark, d, "keyword_definitions"))
     t = trees.build(docs, chapters, OfflineProvider())
     return t.nodes.join(t.links.select(F.col("child").alias("node_id"), F.col("parent").alias("parent_id"), "pos"), "node_id", "left").select("node_id", "name", "type", "parent_id", "pos")
 
 
+def tree_default(spark: SparkSession, d: str) -> DataFrame:
+    """A tree over kb_documents without a model, groups cut in three until they are documents: its nodes with parent and place."""
+    kb = table(spark, d, "kb_documents").select(F.col("id").alias("doc_id"), F.col("id").alias("ordinal_text"), "title")
+    docs, chapters = _inputs(ranked(kb, [], ["ordinal_text"], "ordinal"), table(spark, d, "keyword_definitions"))
+    t = trees.build(docs, chapters)
+    return t.nodes.join(t.links.select(F.col("child").alias("node_id"), F.col("parent").alias("parent_id"), "pos"), "node_id", "left").select("node_id", "name", "type", "parent_id", "pos")
+
+
+TREE_DEFAULT = r"""
+WITH RECURSIVE base AS (SELECT id, row_number() OVER (ORDER BY id) AS ordinal FROM kb_documents),
+levels AS (
+  SELECT id, ordinal, 0 AS depth, 'root' AS path, 'Root' AS name, NULL::VARCHAR AS above, 0::BIGINT AS pos, ordinal AS r, count(*) OVER () AS n FROM base
+  UNION ALL
+  SELECT id, ordinal, depth + 1, path || '/' || c, CASE WHEN n <= 3 THEN '文档 ' || r ELSE '类别 ' || (c + 1) END, path, c, row_number() OVER (PARTITION BY path, c ORDER BY ordinal), count(*) OVER (PARTITION BY path, c)
+  FROM (SELECT *, CASE WHEN n <= 3 THEN r - 1 WHEN r - 1 < (n % 3) * (n // 3 + 1) THEN (r - 1) // (n // 3 + 1) ELSE n % 3 + (r - 1 - (n % 3) * (n // 3 + 1)) // greatest(n // 3, 1) END AS c FROM levels WHERE n > 1 AND depth < 8)
+),
+rows AS (
+  SELECT DISTINCT 'group' || chr(10) || path AS key, name, 'CATEGORY' AS type, above, pos FROM levels WHERE n > 1
+  UNION ALL
+  SELECT 'doc' || chr(10) || id, CASE WHEN trim(title) = '' THEN id ELSE left(title, 50) END, 'LEAF', CASE WHEN n = 1 THEN above ELSE path END, CASE WHEN n = 1 THEN pos ELSE ordinal END FROM levels JOIN kb_documents USING (id) WHERE n = 1 OR depth = 8
+)
+SELECT 'n-' || substr(sha256(key), 1, 24) AS node_id, name, type, CASE WHEN above IS NOT NULL THEN 'n-' || substr(sha256('group' || chr(10) || above), 1, 24) END AS parent_id, CASE WHEN above IS NOT NULL THEN pos END AS pos FROM rows
+"""
+
+
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The distinct texts of documents, taken from a stream of the table's files."""
     import uuid
@@ -314,6 +364,6 @@ QUERIES = {
     f: globals().get(f.__name__.upper())
     for f in (
         keyword_definitions_clean, doc_keywords, inverted_index, total_keywords, candidates_exact, containment_only, search_topk, start_nodes, fallback_nodes, children, node_chunks, tree_leaves, answer_context, best_category, decision_parse,
-        keyword_lines, navigate_batch, tree_build, stream_dedup,
+        keyword_lines, navigate_batch, walks_by_keywords, tree_build, tree_default, stream_dedup,
     )
 }

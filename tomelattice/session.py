@@ -26,6 +26,7 @@ def local_session(name: str = "tomelattice", cores: int = 8, **conf: str) -> Spa
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='tomelattice-')}",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     spark = builder.config(map=settings).getOrCreate()
     ship(spark)
@@ -47,10 +48,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset and all runs on one machine a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tomelattice-"))
     return _own_dir[0]
