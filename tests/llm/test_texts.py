@@ -243,6 +243,21 @@ def test_containers(ids, many):
     assert terms.unpack(terms.pack(x)).tolist() == x.tolist()
 
 
+def test_patterns_of_short_texts():
+    """Where texts are short, patterns have as many of them as fill a container, and hold most."""
+    size = packing.CAPACITY // packing.GRAIN
+    histogram = np.zeros(size, np.int64)
+    histogram[[4, 6, 10, 14]] = [700, 500, 300, 200]
+    few = packing.most_together(histogram)
+    patterns, x = packing.fit(histogram, few=few)
+    lengths = np.arange(1, size + 1)
+    assert few > packing.FEW and len(patterns) and (patterns @ lengths <= size).all()
+    held = (np.floor(x + 1e-6)[:, None] * patterns).sum()
+    assert held >= histogram.sum() / 2
+    containers = packing.plan(histogram)
+    assert (sum(c * n for c, n in containers) == histogram).all() and sum(n for _, n in containers) <= 1.1 * (histogram @ lengths) / size + 1
+
+
 def test_frequencies(spark):
     rng = random.Random(9)
     rows = [(rng.choice(["s", "t"]), rng.choice([" A", "a", "b\t", "中", "", None, f"k{rng.randint(0, 40)}"]), rng.choice([None, "", *(f"r{i}" for i in range(60))]), rng.choice([None, 0, -1, 1, 3, 9]), "x") for _ in range(3000)]
@@ -259,7 +274,7 @@ def test_frequencies(spark):
     want = {}
     for (s, k), own in best.items():
         n, total = len(own), sum(own.values())
-        want[s, k] = (n, total, "common" if n > 0.05 * len(size[s]) else "rare" if n <= 2 and total <= 5 else None)
+        want[s, k] = (n, total, "common" if n > 0.05 * len(size[s]) else "rare" if 0 < n <= 2 and total <= 5 else None)
     df = spark.createDataFrame(rows, "src string, term string, record string, n int, block string").repartition(4)
     got = {(r.src, r.term): (r.records, r.total, r.mark) for r in terms.frequencies(df).collect()}
     assert got == want

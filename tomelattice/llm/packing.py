@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,9 +102,17 @@ def fit(histogram: np.ndarray, most: int = PATTERNS, few: int = FEW) -> tuple[np
     return columns.astype(np.int64), x
 
 
-def plan(histogram: np.ndarray, few: int = FEW) -> list[tuple[np.ndarray, int]]:
+def most_together(histogram: np.ndarray) -> int:
+    """Texts that a pattern may have: FEW, or where texts are short half as many again as fill a container on average."""
+    n = int(histogram.sum())
+    mean = float((histogram * np.arange(1, len(histogram) + 1)).sum() / n) if n else 1.0
+    return min(len(histogram), max(FEW, int(np.ceil(1.5 * len(histogram) / mean))))
+
+
+def plan(histogram: np.ndarray, few: int | None = None) -> list[tuple[np.ndarray, int]]:
     """(counts of lengths, repeats) of all containers; counts add up to the histogram, lengths in a container to its size at most."""
     size = len(histogram)
+    few = few or most_together(histogram)
     left = histogram.astype(np.int64).copy()
     out: list[tuple[np.ndarray, int]] = []
     patterns, x = fit(left, few=few)
@@ -165,7 +174,7 @@ def _measurer(vocabulary: str, capacity: int, grain: int):
     def measure(batches):
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity // grain + 2, np.int64)
-        encode = tokenizer(vocabulary)
+        encode = tokenizer(SparkFiles.get(vocabulary))
         for batch, texts in text_batches(batches, "text"):
             n = np.array([len(x) for x in encode.encode_ordinary_batch([t.encode("utf-8", "replace").decode() if t else "" for t in texts], num_threads=1)], np.int64)
             parts = np.maximum(-(-n // capacity), 1)
@@ -197,18 +206,20 @@ def _placer(shared):
     return place
 
 
-def pack(docs: DataFrame, doc: str, text: str, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, grain: int = GRAIN, few: int = FEW) -> DataFrame:
+def pack(docs: DataFrame, doc: str, text: str, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, grain: int = GRAIN, few: int | None = None) -> DataFrame:
     """(container, doc, part, token_begin, tokens): every text, or part of a text above the capacity, in its container.
 
     A longer text is divided after every `capacity` tokens; its parts are numbered from 0, those of
     full length fill a container each.  Null and empty texts have no tokens and a null container.
     Repeated rows are packed each; a null doc is kept; other columns are not looked at; an empty
-    table gives an empty result.  capacity has to be a multiple of grain.
+    table gives an empty result.  capacity has to be a multiple of grain; patterns have `few` texts at
+    most, by default as the lengths suggest.
     """
     spark = docs.sparkSession
     kind = docs.schema[doc].dataType.simpleString()
     texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    items = stage(texts.mapInArrow(_measurer(vocabulary, capacity, grain), f"doc {kind}, part long, token_begin long, tokens long, room long, task long, local long"))
+    spark.sparkContext.addFile(vocabulary)  # to every worker
+    items = stage(texts.mapInArrow(_measurer(os.path.basename(vocabulary), capacity, grain), f"doc {kind}, part long, token_begin long, tokens long, room long, task long, local long"))
     counts = stage(items.groupBy("task", "room").agg(F.count("*").alias("n")))
     histogram = np.zeros(capacity // grain, np.int64)
     for room, n in counts.where("room > 0").groupBy("room").agg(F.sum("n")).collect():  # capacity / grain rows at most
