@@ -187,6 +187,46 @@ FROM section_refs JOIN kb_documents ON id = doc_id WHERE byte_length > 0 AND con
 """
 
 
+def orphan_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sums stored with kb_documents that no content has any more."""
+    kb = table(spark, d, "kb_documents")
+    return dedupe.orphaned_sources(kb.select("id", F.col("md5").alias("source")), kb.select("id", F.md5("content").alias("source")), "id")
+
+
+ORPHAN_SOURCES = "SELECT DISTINCT md5 AS source FROM kb_documents WHERE md5 IS NOT NULL AND md5 NOT IN (SELECT md5(content) FROM kb_documents WHERE content IS NOT NULL)"
+
+
+def chunk_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """Which sections have a content, and which a source with a length."""
+    refs, kb = table(spark, d, "section_refs"), table(spark, d, "kb_documents").select(F.col("id").alias("doc_id"), "content", "file_path")
+    rows = refs.join(kb, "doc_id").withColumn("source", F.when(F.col("file_path").isNotNull(), F.struct("file_path"))).withColumnRenamed("byte_length", "source_length")
+    return rows.select("doc_id", "section_index", "byte_offset", *(c.alias(n) for n, c in schema.chunk_predicates().items())).distinct()
+
+
+CHUNK_PREDICATES = """
+SELECT DISTINCT doc_id, section_index, byte_offset, coalesce(content <> '', false) AS has_content, file_path IS NOT NULL AND coalesce(byte_length > 0, false) AS has_source
+FROM section_refs JOIN kb_documents ON id = doc_id
+"""
+
+
+def node_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """Which rows of nodes are leaves, have children and have chunks."""
+    rows = table(spark, d, "nodes").withColumnRenamed("node_type", "type")
+    return rows.select("node_id", *(c.alias(n) for n, c in schema.node_predicates().items()))
+
+
+NODE_PREDICATES = "SELECT node_id, node_type = 'LEAF' AS is_leaf, coalesce(len(children_ids), 0) > 0 AS has_children, coalesce(len(chunk_ids), 0) > 0 AS has_chunks FROM nodes"
+
+
+def edit_similarities(spark: SparkSession, d: str) -> DataFrame:
+    """How alike every part's name and kind are as prompts."""
+    rows = table(spark, d, "part")
+    return rows.select("p_partkey", F.round(X.similarity(X.prompt_normalized("p_name"), X.prompt_normalized("p_type")), 9).alias("similarity"))
+
+
+EDIT_SIMILARITIES = "SELECT p_partkey, round(1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type)), 9) AS similarity FROM part"
+
+
 def charsets(spark: SparkSession, d: str) -> DataFrame:
     """text_files as bytes, half of them UTF-8 and half UTF-16 with a mark, and what is found and read from them."""
     rows = table(spark, d, "text_files").where("content is not null")
@@ -391,7 +431,7 @@ LATEST_EVENTS = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type,
 QUERIES = {
     f: globals().get(f.__name__.upper())
     for f in (
-        doc_md5_dedup, ingest_report, document_faults, lines_with_offsets, headings, sections_by_heading, fixed_windows, line_sections, prompt_windows, document_chunks, section_bytes, charsets, file_names, rollup_doc_summary, default_clusters,
+        doc_md5_dedup, ingest_report, document_faults, lines_with_offsets, headings, sections_by_heading, fixed_windows, line_sections, prompt_windows, document_chunks, section_bytes, orphan_sources, chunk_predicates, node_predicates, edit_similarities, charsets, file_names, rollup_doc_summary, default_clusters,
         shard_assignment, orphans, overlay, storage_usage, usage_stats, cache_keys, cache_stats, cache_misses, prompt_similarity, title_similarity, rate_limit_replay, latest_events,
     )
 }
