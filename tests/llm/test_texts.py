@@ -87,6 +87,33 @@ def test_viterbi_against_paths():
         assert worth(mojibake.viterbi([g, g[:3]])[0]) == pytest.approx(best, abs=1e-3)
 
 
+def test_viterbi_decodes_only_what_may_be_garbled(monkeypatch):
+    """Long clean stretches cost no steps, and change no state."""
+    rng = np.random.default_rng(5)
+    whole, decoded = mojibake._decoded, []
+    monkeypatch.setattr(mojibake, "_decoded", lambda gains: decoded.extend(map(len, gains)) or whole(gains))
+    sequences = []
+    for n in (0, 1, 40, 2000, 3000):
+        g = rng.normal(-3, 1, (n, 3)).astype(np.float32)
+        for a in range(10, n - 20, 500):
+            g[a : a + int(rng.integers(2, 9)), int(rng.integers(3))] = 4
+        sequences.append(g)
+    got = mojibake.viterbi(sequences)
+    assert [x.tolist() for x in got] == [x.tolist() for x in whole(sequences)] and sum((x > 0).sum() for x in got) > 20
+    assert sum(decoded) < 300
+
+
+def test_surely_garbled_tries_few_charsets(monkeypatch):
+    """Only charsets that a line's first character may have been read in are tried; what is found stays the same."""
+    tried, encode = [], mojibake._encode
+    monkeypatch.setattr(mojibake, "_encode", lambda *a: tried.append(a[1]) or encode(*a))
+    assert not any(map(mojibake.surely_garbled, ["数据库服务器", "Привет мир", "naïve café", "日本語テスト", "“x” – y…"]))
+    assert len(tried) <= 5
+    for state in ("utf-8>latin-1", "utf-8>cp1252", "utf-8>mac-roman", "utf-8>cp1251"):
+        assert mojibake.surely_garbled("abc\n" + mojibake.garble("Grüße aus Köln", state))
+    assert mojibake.surely_garbled("汉字".encode().decode("gbk"))
+
+
 alphabet = st.lists(st.sampled_from(["a", "中", "é", "😀", " ", "\n", "。", ". ", "# x\n", "\n\n", "第一章 x\n", "```\n", "word " * 30, "x" * 700, "汉" * 300]), max_size=120).map("".join)
 
 
